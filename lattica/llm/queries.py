@@ -8,7 +8,52 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.llm.common import documents
+from lattica.llm.dac import round_trip
+from lattica.llm.forest import near_vectors
+from lattica.llm.language import predict_languages
+from lattica.llm.licenses import scan_licenses
+from lattica.llm.mixing import mix
+from lattica.llm.packing import pack_documents
+from lattica.llm.pii import replace_entities
+from lattica.llm.quality import apply_quality_rules
 from lattica.llm.simhash import simhash_groups
+from lattica.llm.warc import derive_pages
+
+#: The key that surrogates are drawn from; a deployment sets its own.
+DEMO_KEY = b"lattica demonstration key"
+
+
+def vocabulary(name: str) -> str:
+    """The place of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = replace_entities(documents(spark, sf_dir).select("doc_id", "text"), DEMO_KEY)
+    return found.select("doc_id", "n_entities", "text")
+
+
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licenses(documents(spark, sf_dir))
+
+
+def op3_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x.n)
+    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(documents(spark, sf_dir), vocabulary("word_bpe_49k.json"))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return apply_quality_rules(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,8 +61,29 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return predict_languages(documents(spark, sf_dir))
+
+
+def op9_token_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_trip(documents(spark, sf_dir), vocabulary("byte_bpe_50k.json"))
+
+
+def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return derive_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_surrogates": op1_surrogates,
+    "op2_licenses": op2_licenses,
+    "op3_vector_forest": op3_vector_forest,
+    "op4_mixing": op4_mixing,
+    "op5_packing": op5_packing,
+    "op6_quality": op6_quality,
     "op7_simhash": op7_simhash,
+    "op8_language": op8_language,
+    "op9_token_codes": op9_token_codes,
+    "op10_warc": op10_warc,
 }
 
 ORACLES: dict[str, str] = {}
