@@ -104,14 +104,15 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str],
     """
     names = sorted(profiles)
     matrix = np.array([profiles[k] / np.linalg.norm(profiles[k]) for k in names]) if names else np.zeros((0, size))
-    picked = docs.select(*keep, F.col(text_col).cast("string").alias("_lattica_text"))
-    schema = picked.drop("_lattica_text").schema.add("lang_pred", "string").add("score", "double")
+    picked = docs.select(*keep, *[] if text_col in keep else [text_col])
+    at = picked.columns.index(text_col)
+    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space(size, seed)
         for batch in batches:
             langs, scores = [], []
-            for text in batch.column(batch.num_columns - 1):
+            for text in batch.column(at):
                 lang, score = "und", 0.0
                 grams, counts = trigrams(text.as_py())
                 if len(grams) and names:
@@ -121,8 +122,8 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str],
                         lang, score = names[int(near.argmax())], float(min(1.0, max(0.0, near.max())))
                 langs.append(lang)
                 scores.append(score)
-            columns = [*batch.columns[:-1], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "lang_pred", "score"])
+            columns = [*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
 
     ship(docs.sparkSession)
     return picked.mapInArrow(run, schema)

@@ -64,13 +64,12 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     """
     root = quotas.agg(F.sort_array(F.collect_list(F.struct("k", "source", "n"))).alias("q"))  # one entry a source
     nodes = root.select(F.lit(0).cast("long").alias("shard"), F.transform("q", lambda x: x.source).alias("sources"), F.transform("q", lambda x: x.n).alias("q"))
-    for level in range(levels):
-
-        def step(a: Column, e: Column, level: int = level) -> Column:
-            taken = hypergeometric(e.n, a.rest, a.draws, _uniform(F.lit(seed), F.lit(level), F.col("shard"), e.i))
-            return let(taken, lambda t: F.struct((a.rest - e.n).alias("rest"), (a.draws - t).alias("draws"), F.concat(a.out, F.array(t)).alias("out")))
+    def step(a: Column, e: Column) -> Column:
+        taken = hypergeometric(e.n, a.rest, a.draws, _uniform(F.lit(seed), F.col("level"), F.col("shard"), e.i))
+        return let(taken, lambda t: F.struct((a.rest - e.n).alias("rest"), (a.draws - t).alias("draws"), F.concat(a.out, F.array(t)).alias("out")))
 
-        nodes = nodes.withColumn("total", F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x))
+    for level in range(levels):
+        nodes = nodes.withColumn("total", F.aggregate("q", F.lit(0).cast("long"), lambda a, x: a + x)).withColumn("level", F.lit(level))
         start = F.struct(F.col("total").alias("rest"), F.expr("total div 2").alias("draws"), F.array().cast("array<bigint>").alias("out"))
         items = F.transform("q", lambda n, i: F.struct(n.alias("n"), i.alias("i")))
         nodes = nodes.withColumn("left", F.aggregate(items, start, step, lambda a: a.out))

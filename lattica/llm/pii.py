@@ -46,7 +46,7 @@ _PATTERNS = [
     ("secret", re.compile(r"(?i:(?<![A-Za-z])(?:api[_-]?key|token|secret|password|passwd)\s?[:=]\s?[\"']?)([A-Za-z0-9+/_.~-]{12,})")),
     ("iban", re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")),
     ("ssn", re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")),
-    ("card", re.compile(r"(?<![0-9.,-])(?:[0-9]{4}[ -]?){3}[0-9]{1,7}(?![0-9])")),
+    ("card", re.compile(r"(?<![0-9.,-])(?:(?:[0-9]{4}[ -]){3}[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9])")),
     ("ip", re.compile(r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])")),
     ("phone", re.compile(r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9A-Za-z])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")),
 ]
@@ -93,13 +93,14 @@ def find_entities(text: str) -> list[tuple[int, int, str, str, str]]:
     for m in _TITLED.finditer(text):
         first, last = m[3], m[5]
         gender = TITLES[m[1]] or _GENDER.get(first, ("", ""))[1]
-        if first in _GENDER:
-            found.append((*m.span(3), "first", first, gender))
-            if last:
-                found.append((*m.span(5), "surname", last, gender))
+        if last:
+            found += [(*m.span(3), "first" if first in _GENDER else f"given-{gender}", first, gender), (*m.span(5), "surname", last, gender)]
         else:
-            found += [(*m.span(k), "surname", m[k], gender) for k in (3, 5) if m[k]]
+            found.append((*m.span(3), "first" if first in _GENDER else "surname", first, gender))
     found += [x for m in _NAMED.finditer(text) for x in ((*m.span(1), "first", m[1], _GENDER[m[1]][1]), (*m.span(3), "surname", m[3], _GENDER[m[1]][1]))]
+    if surnames := {x[3]: x[4] for x in found if x[2] == "surname"}:  # the same name alone, elsewhere in the text
+        alone = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(surnames, key=len, reverse=True))) + r")\b")
+        found += [(*m.span(), "surname", m[0], surnames[m[0]]) for m in alone.finditer(text)]
     found.sort(key=lambda x: x[0])  # stable: of those that start together, the first pattern's
     apart, end = [], 0
     for x in found:
@@ -165,11 +166,14 @@ class Surrogates:
             code = canonical[:2] if canonical.startswith("+1") else canonical[:3] if canonical.startswith("+") else ""
             rest = self._shape(canonical[len(code) :], source)
             return code + (rest if rest[:1] != "0" else str(1 + next(source) % 9) + rest[1:])
-        if kind.startswith("first"):
+        if kind == "first":
             names = FIRST_NAMES[_GENDER[canonical]]
             order = sorted(names, key=lambda n: hmac.new(self.key, n.encode(), hashlib.sha256).digest())
             return order[(order.index(canonical) + 1) % len(order)]  # a cycle: no name is its own surrogate, no two share one
         script = script_of(canonical)
+        if kind.startswith("given"):
+            names = [n for g in kind[6:] or "fm" for n in FIRST_NAMES[script, g] if n != canonical]
+            return "-".join(names[(next(source) << 8 | next(source)) % len(names)] for _ in range(2 + draw // 4))
         syllables = _SYLLABLES[script]
         stem = "".join(syllables[next(source) % len(syllables)] for _ in range(3 + draw // 4))
         if script == "cyrillic":
