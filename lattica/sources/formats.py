@@ -64,7 +64,7 @@ def read_lgl(text: DataFrame, directed: bool = False) -> Graph:
 
 
 def read_lgl_file(spark: SparkSession, path: str, directed: bool = False) -> Graph:
-    return read_lgl(spark.read.option("lineSep", "#").text(path).select(F.col("value").alias("block")).where("trim(block) != ''"), directed)
+    return read_lgl(spark.read.text(path, lineSep="#").select(F.col("value").alias("block")).where("trim(block) != ''"), directed)
 
 
 def write_lgl(g: Graph) -> DataFrame:
@@ -89,7 +89,7 @@ def write_dimacs(g: Graph, source: int, target: int, weight: str = "weight") ->
 
 def read_pajek(spark: SparkSession, path: str) -> Graph:
     """``*Vertices n`` and ``*Edges`` or ``*Arcs`` sections, ids from 1. The section of a line is told by its kind: vertex lines are quoted or single numbers."""
-    t = spark.read.option("wholetext", True).text(path).select(F.lower("value").alias("x"))
+    t = spark.read.text(path, wholetext=True).select(F.lower("value").alias("x"))
     n = int(t.select(F.regexp_extract("x", r"\*vertices\s+(\d+)", 1)).first()[0])
     found = None
     for kind in ("edges", "arcs"):
@@ -119,7 +119,7 @@ def write_pajek(g: Graph) -> DataFrame:
 
 def read_graphml(spark: SparkSession, path: str) -> Graph:
     """Nodes and edges of a GraphML file; node ids are names."""
-    t = spark.read.option("lineSep", ">").text(path).select("value")
+    t = spark.read.text(path, lineSep=">").select("value")
     nodes = t.where(r"value rlike '<node\\s'").select(F.regexp_extract("value", r"""\bid\s*=\s*["']([^"']*)""", 1).alias("name"))
     pair = lambda k: F.regexp_extract("value", rf"""\b{k}\s*=\s*["']([^"']*)""", 1)
     e = t.where(r"value rlike '<edge\\s'").select(pair("source").alias("a"), pair("target").alias("b"))
@@ -138,7 +138,7 @@ def write_graphml(g: Graph) -> DataFrame:
 
 def read_gml(spark: SparkSession, path: str) -> Graph:
     """Nodes and edges of a GML file; node ids are names."""
-    t = spark.read.option("lineSep", "]").text(path).select("value")
+    t = spark.read.text(path, lineSep="]").select("value")
     number = lambda k: F.regexp_extract("value", rf"\b{k}\s+(-?\d+)", 1)
     nodes = t.where(r"value rlike '\\bnode\\s*\\['").select(number("id").alias("name"))
     e = t.where(r"value rlike '\\bedge\\s*\\['").select(number("source").alias("a"), number("target").alias("b"))
@@ -169,7 +169,7 @@ def write_leda(g: Graph) -> DataFrame:
 
 def read_dl(spark: SparkSession, path: str, directed: bool = True) -> Graph:
     """UCINET DL with ``format=edgelist1``: ``n = k`` in the head, ids from 1 after ``data:``."""
-    t = spark.read.option("wholetext", True).text(path).select("value")
+    t = spark.read.text(path, wholetext=True).select("value")
     n = int(t.select(F.regexp_extract(F.lower("value"), r"\bn\s*=\s*(\d+)", 1)).first()[0])
     lines = t.select(F.explode(F.split(F.regexp_extract("value", r"(?is)data:\s*\n(.*)", 1), r"\n")).alias("l")).select(F.split(F.trim("l"), r"\s+").alias("t")).where("size(t) > 1")
     e = lines.select((F.col("t")[0].cast("long") - 1).alias("src"), (F.col("t")[1].cast("long") - 1).alias("dst"), F.coalesce(F.get("t", F.lit(2)).cast("double"), F.lit(1.0)).alias("weight"))
