@@ -16,12 +16,14 @@ from pyspark.sql import functions as F
 
 from lattica.graph import Graph
 from lattica.operators.iterate import connected_components
+from lattica.shipping import ship
 
 Adjacency = dict[int, set[int]]
 
 
 def per_component(g: Graph, kernel: Callable[[list[int], list[tuple[int, int, int]]], Iterator[tuple]], schema: str, most_edges: int = 200_000) -> DataFrame:
     """Rows of ``kernel(vertices, edges)``, edges being (eid, src, dst) in the order of eid, for each weak component."""
+    ship(g.spark)
     c = connected_components(g)
     rows = c.select("component", F.col("v").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("eid"))
     rows = rows.unionByName(g.edges.join(c.withColumnRenamed("v", "src"), "src").select("component", F.col("src").alias("a"), F.col("dst").alias("b"), "eid"))
@@ -276,7 +278,6 @@ def max_flow(edges: list[tuple[int, int, float]], source: int, target: int, dire
                     break
                 level.pop(v)
                 v = head[path.pop() ^ 1]
-    # not reached
 
 
 def st_flows(g: Graph, pairs: DataFrame, weight: str | None = None) -> DataFrame:
@@ -284,6 +285,7 @@ def st_flows(g: Graph, pairs: DataFrame, weight: str | None = None) -> DataFrame
     e = g.edges.select("src", "dst", (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w")).limit(1_000_001).collect()
     if len(e) > 1_000_000:
         raise ValueError("flows take graphs of at most a million edges")
+    ship(g.spark)
     sent, directed = g.spark.sparkContext.broadcast([(r.src, r.dst, r.w) for r in e]), g.directed
 
     def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
