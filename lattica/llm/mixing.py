@@ -17,12 +17,15 @@ REACH = 9
 
 def _log_factorial(x: Column) -> Column:
     """ln x! by Stirling's series on x + 8, less the factors added: about 1e-13 exact, with no table."""
-    y = x + F.lit(8.0)
-    series = y * F.log(y) - y + 0.5 * F.log(2 * math.pi * y) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * F.pow(y, F.lit(5.0)))
-    extra = F.lit(0.0)
-    for i in range(1, 9):
-        extra = extra + F.log(x + F.lit(float(i)))
-    return series - extra
+
+    def series(x: Column) -> Column:
+        product = F.lit(1.0)
+        for i in range(1, 9):
+            product = product * (x + float(i))
+        y = x + 8.0
+        return y * F.log(y) - y + 0.5 * F.log(2 * math.pi * y) + 1 / (12 * y) - 1 / (360 * y * y * y) - F.log(product)
+
+    return let(x.cast("double"), series)
 
 
 def _uniform(*parts) -> Column:
@@ -32,26 +35,27 @@ def _uniform(*parts) -> Column:
 def hypergeometric(good: Column, total: Column, draws: Column, u: Column) -> Column:
     """How many of ``draws`` from ``total`` items are among the ``good``: the inverse of the distribution at ``u``."""
 
+    def bounds(p: Column) -> Column:
+        mean = p.d * p.g / F.greatest(p.n, F.lit(1))
+        return let(mean, lambda m: let(REACH * F.sqrt(F.greatest(m * (1 - p.g / F.greatest(p.n, F.lit(1))) * (p.n - p.d) / F.greatest(p.n - 1, F.lit(1)), F.lit(0.0))), lambda sd: F.struct(
+            p.g.alias("g"), p.n.alias("n"), p.d.alias("d"), p.u.alias("u"),
+            F.greatest(F.lit(0), p.d - (p.n - p.g), F.floor(m - sd) - 2).cast("long").alias("low"), F.least(p.d, p.g, F.ceil(m + sd) + 2).cast("long").alias("high"),
+        )))
+
     def draw(p: Column) -> Column:
-        g, n, d = p.g, p.n, p.d
-        mean = d * g / F.greatest(n, F.lit(1))
-        sd = F.sqrt(F.greatest(mean * (1 - g / F.greatest(n, F.lit(1))) * (n - d) / F.greatest(n - 1, F.lit(1)), F.lit(0.0)))
-        low = F.greatest(F.lit(0), d - (n - g), F.floor(mean - REACH * sd) - 2).cast("long")
-        high = F.least(d, g, F.ceil(mean + REACH * sd) + 2).cast("long")
-        first = _log_factorial(g) + _log_factorial(n - g) - _log_factorial(low) - _log_factorial(g - low) - _log_factorial(d - low) - _log_factorial(n - g - d + low)
-        peak = _log_factorial(n) - _log_factorial(d) - _log_factorial(n - d)
+        lf = _log_factorial
+        first = lf(p.g) + lf(p.n - p.g) - lf(p.low) - lf(p.g - p.low) - lf(p.d - p.low) - lf(p.n - p.g - p.d + p.low) - lf(p.n) + lf(p.d) + lf(p.n - p.d)
 
         def step(a: Column, k: Column) -> Column:
-            inside = a.below < p.u
-            term = a.term + F.log((g - k + 1) / k) + F.log((d - k + 1) / (n - g - d + k))
-            return F.struct(term.alias("term"), (a.below + F.exp(term)).alias("below"), F.when(inside, k).otherwise(a.at).alias("at"))
+            term = a.term + F.log((p.g - k + 1) / k * (p.d - k + 1) / (p.n - p.g - p.d + k))
+            return let(term, lambda t: F.struct(t.alias("term"), (a.below + F.exp(t)).alias("below"), F.when(a.below < p.u, k).otherwise(a.at).alias("at")))
 
-        start = F.struct((first - peak).alias("term"), F.exp(first - peak).alias("below"), low.alias("at"))
-        more = F.when(high > low, F.sequence(low + 1, high)).otherwise(F.array().cast("array<long>"))
+        start = let(first, lambda t: F.struct(t.alias("term"), F.exp(t).alias("below"), p.low.alias("at")))
+        more = F.when(p.high > p.low, F.sequence(p.low + 1, p.high)).otherwise(F.array().cast("array<long>"))
         return F.aggregate(more, start, step, lambda a: a.at)
 
     parts = F.struct(good.cast("long").alias("g"), total.cast("long").alias("n"), draws.cast("long").alias("d"), u.alias("u"))
-    return let(parts, draw)
+    return let(let(parts, bounds), draw)
 
 
 def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
@@ -64,6 +68,7 @@ def split_quotas(quotas: DataFrame, levels: int, seed: int) -> DataFrame:
     """
     root = quotas.agg(F.sort_array(F.collect_list(F.struct("k", "source", "n"))).alias("q"))  # one entry a source
     nodes = root.select(F.lit(0).cast("long").alias("shard"), F.transform("q", lambda x: x.source).alias("sources"), F.transform("q", lambda x: x.n).alias("q"))
+
     def step(a: Column, e: Column) -> Column:
         taken = hypergeometric(e.n, a.rest, a.draws, _uniform(F.lit(seed), F.col("level"), F.col("shard"), e.i))
         return let(taken, lambda t: F.struct((a.rest - e.n).alias("rest"), (a.draws - t).alias("draws"), F.concat(a.out, F.array(t)).alias("out")))
