@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from lattica.functions import formulas as T
 from lattica.graph import Graph, store
-from lattica.operators import algebra, degree, distances, groups, iterate, kernels, recognise, triangles
+from lattica.operators import algebra, degree, distances, groups, iterate, kernels, recognise, sequences, triangles
 from lattica.plans import constructors as made
+from lattica.plans import random_graphs
 
 SUPPLIERS, CUSTOMERS, NATIONS = 100_000_000, 200_000_000, 100
 
@@ -312,3 +313,34 @@ _G = {
 }
 for _name, (_function, _args, _sql) in _G.items():
     register(f"{_name}_graph", f"SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM ({_sql}) x(src, dst)")(lambda s, p, f=getattr(made, _function), a=_args: f(s, *a).edges.select("src", "dst"))
+
+register("running_mean", f"SELECT event_id, {f32('CASE WHEN count(*) OVER w = 5 THEN avg(value) OVER w END')} AS running_mean FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)")(
+    lambda s, p: sequences.running_mean(table(s, p, "events"), "value", ["ts", "event_id"], 5, ["user_id"]).select("event_id", "running_mean")
+)
+register("neighborhood", f"WITH RECURSIVE {TREE}, {DIST} SELECT s AS v, t AS u FROM ds WHERE dist BETWEEN 1 AND 2")(lambda s, p: algebra.neighborhood(tree(s, p), 2, 1))
+register("graph_power", f"WITH RECURSIVE {TREE}, {DIST} SELECT s AS src, t AS dst FROM ds WHERE s < t AND dist <= 3")(lambda s, p: algebra.graph_power(tree(s, p), 3).edges.select("src", "dst"))
+register("reachability_counts", f"WITH RECURSIVE {TREE}, {REACH} SELECT s AS v, count(*) AS reached FROM rc GROUP BY 1")(lambda s, p: iterate.reachability(tree(s, p, True)).groupBy(F.col("s").alias("v")).agg(F.count("*").alias("reached")))
+register("frustrated_edges", f"WITH {TREE} SELECT src, dst FROM e WHERE false")(lambda s, p: recognise.frustrated_edges(tree(s, p)).select("src", "dst"))
+register("subgraph_from_edges", f"WITH {ORDERS}, m AS (SELECT eid FROM e GROUP BY eid HAVING max(weight) >= 25) SELECT src, dst, count(*) AS copies FROM e WHERE eid IN (SELECT eid FROM m) GROUP BY 1, 2")(
+    lambda s, p: algebra.subgraph_from_edges(g := ordered(s, p), g.edges.groupBy("eid").agg(F.max("weight").alias("w")).where("w >= 25")).edges.groupBy("src", "dst").agg(F.count("*").alias("copies"))
+)
+_R = {
+    "symmetric_tree": ("symmetric_tree", ([3, 2, 2],), "SELECT 0, i FROM generate_series(1, 3) t(i) UNION ALL SELECT 1 + (i - 4) // 2, i FROM generate_series(4, 9) t(i) UNION ALL SELECT 4 + (i - 10) // 2, i FROM generate_series(10, 21) t(i)"),
+    "regular_tree": ("regular_tree", (2, 3), "SELECT 0, i FROM generate_series(1, 3) t(i) UNION ALL SELECT 1 + (i - 4) // 2, i FROM generate_series(4, 9) t(i)"),
+    "triangular_lattice": ("triangular_lattice", (4, 5), "SELECT x.i, y.i FROM generate_series(0, 19) x(i) JOIN generate_series(0, 19) y(i) ON x.i < y.i AND ((y.i = x.i + 1 AND y.i % 5 > 0) OR y.i = x.i + 5 OR (y.i = x.i + 4 AND x.i % 5 > 0))"),
+    "full_multipartite": ("full_multipartite", ([2, 3, 4],), "SELECT x.i, y.i FROM generate_series(0, 8) x(i) JOIN generate_series(0, 8) y(i) ON x.i < y.i AND (CASE WHEN x.i < 2 THEN 0 WHEN x.i < 5 THEN 1 ELSE 2 END) <> (CASE WHEN y.i < 2 THEN 0 WHEN y.i < 5 THEN 1 ELSE 2 END)"),
+    "prufer": ("from_prufer", ([3, 3, 3, 4],), "SELECT * FROM (VALUES (0, 3), (1, 3), (2, 3), (3, 4), (4, 5)) v(a, b)"),
+    "circular_lattice": ("square_lattice", ([4, 3], True), "SELECT least(i, (i // 4) * 4 + (i + 1) % 4), greatest(i, (i // 4) * 4 + (i + 1) % 4) FROM generate_series(0, 11) t(i) UNION ALL SELECT least(i, (i + 4) % 12), greatest(i, (i + 4) % 12) FROM generate_series(0, 11) t(i)"),
+}
+for _name, (_function, _args, _sql) in _R.items():
+    register(f"{_name}_graph", f"SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM ({_sql}) x(src, dst)")(lambda s, p, f=getattr(made, _function), a=_args: f(s, *a).edges.select("src", "dst"))
+register("mycielskian", "SELECT CAST(src AS BIGINT) AS src, CAST(dst AS BIGINT) AS dst FROM (SELECT least(i, (i + 1) % 5), greatest(i, (i + 1) % 5) FROM generate_series(0, 4) t(i) UNION ALL SELECT i, 5 + (i + 1) % 5 FROM generate_series(0, 4) t(i) UNION ALL SELECT (i + 1) % 5, 5 + i FROM generate_series(0, 4) t(i) UNION ALL SELECT 5 + i, 10 FROM generate_series(0, 4) t(i)) x(src, dst)")(
+    lambda s, p: made.mycielskian(made.ring_graph(s, 5), 5).edges.select("src", "dst")
+)
+register("kautz_graph", "WITH w AS (SELECT a.i * 4 + (b.i - a.i + 3 - 1) % 3 * 2 + (c.i - b.i + 3 - 1) % 3 AS id, a.i AS a, b.i AS b, c.i AS c FROM generate_series(0, 2) a(i), generate_series(0, 2) b(i), generate_series(0, 2) c(i) WHERE a.i <> b.i AND b.i <> c.i) SELECT CAST(x.id AS BIGINT) AS src, CAST(y.id AS BIGINT) AS dst FROM w x JOIN w y ON x.b = y.a AND x.c = y.b")(lambda s, p: made.kautz(s, 2, 2).edges.select("src", "dst"))
+for _name, _made in {
+    "erdos_renyi_gnp": lambda s: random_graphs.erdos_renyi_gnp(s, 2000, 0.01, 1), "erdos_renyi_gnm": lambda s: random_graphs.erdos_renyi_gnm(s, 1000, 3000, 1), "random_geometric": lambda s: random_graphs.random_geometric(s, 2000, 0.05, 1, True),
+    "stochastic_block_model": lambda s: random_graphs.stochastic_block_model(s, [100, 150], [[0.2, 0.02], [0.02, 0.1]], 1), "watts_strogatz": lambda s: random_graphs.watts_strogatz(s, 1000, 3, 0.1, 1), "growing_graph": lambda s: random_graphs.growing_graph(s, 1000, 2, 1),
+}.items():
+    register(_name)(lambda s, p, f=_made: f(s).edges.select("src", "dst"))
+register("configuration_model")(lambda s, p: random_graphs.configuration_model(store(copurchase(s, p).degrees()), 1).edges.select("src", "dst"))

@@ -6,7 +6,7 @@ import pytest
 from lattica.catalogue import CATALOGUE
 
 DATA = "/root/testdata/sf0.001"
-TABLES = "region nation customer supplier part orders lineitem".split()
+TABLES = "region nation customer supplier part orders lineitem events".split()
 WITH_SQL = sorted(name for name, query in CATALOGUE.items() if query.sql and name != "minimum_spanning_forest")
 
 
