@@ -51,7 +51,8 @@ def record(headers: list[tuple[str, str]], block: bytes) -> bytes:
 
 
 def response_record(url: str, page: bytes, date: str, content_type: str = "text/html; charset=utf-8") -> tuple[list[tuple[str, str]], bytes]:
-    """Headers and block of a response record for a page as fetched."""
+    """Headers and block of a response record for a page as fetched; control characters of the url are escaped, so it stays one header line."""
+    url = re.sub(r"[\x00-\x1f\x7f]", lambda m: f"%{ord(m[0]):02X}", url)
     block = f"HTTP/1.1 200 OK\r\nContent-Type: {content_type}\r\nContent-Length: {len(page)}\r\n\r\n".encode() + page
     headers = [
         ("WARC-Type", "response"), ("WARC-Record-ID", record_id("response", url, date, digest(page))), ("WARC-Date", date), ("WARC-Target-URI", url),

@@ -350,6 +350,8 @@ def test_warc_derivatives(spark):
     assert warc.digest(page.encode()) in meta.content and text.record_id in meta.content
     data = warc.record(headers, block)
     back = list(warc.read_records(data + data))
+    odd = warc.record(*warc.response_record("http://a/\r\nWARC-Type: x", b"", "2025-01-01T00:00:00Z"))
+    assert dict(next(warc.read_records(odd))[0])["WARC-Type"] == "response"
     assert len(back) == 2 and back[0][1] == block and dict(back[0][0])["WARC-Target-URI"] == "http://a.example/"
     assert warc.derive(*back[0], "2025-01-01T00:00:00Z")[1][2].decode() == text.content
     with pytest.raises(ValueError):
