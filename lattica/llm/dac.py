@@ -106,7 +106,7 @@ class TokenFile:
         return ids
 
 
-def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 4_000_000) -> DataFrame:
+def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text", file_tokens: int = 2_000_000) -> DataFrame:
     """Encodes every whole text, appends ``end_id`` and writes token files to ``folder`` in ascending doc_id order.
 
     Returns the manifest, a written table with a row for each file: name, part, segment, n_docs,
@@ -143,8 +143,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
 
         encode = encoder(tokenizer).encode
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 1024):
+                some = batch.slice(k, 1024)
                 for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
                     doc_ids.append(doc_id)
                     held.append(ids + end)

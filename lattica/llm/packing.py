@@ -108,8 +108,8 @@ def pack_documents(
         texts: dict[int, tuple] = {}
         n = 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 256):
-                some = batch.slice(k, 256)
+            for k in range(0, batch.num_rows, 1024):
+                some = batch.slice(k, 1024)
                 for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
                     ids += end
                     texts[n] = (doc_id, ids)
