@@ -7,7 +7,7 @@ import re
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import TERM
+from lattica.llm.common import TERM, materialize
 
 # The phrases of the base scan.
 BASE = {
@@ -86,6 +86,7 @@ def license_spans(docs: DataFrame, templates: dict[str, str] | None = None, base
     hits = rows.join(table, "gram").where(F.expr(" and ".join(f"get(words, pos + {j}) = w{j}" for j in range(K))))
     key = ["doc_id", "text_hash", "t", "m", "label", "base"]
     diagonals = hits.groupBy(*key, (F.col("pos") - F.col("at")).alias("diagonal")).agg(F.collect_set("at").alias("ats"))
+    diagonals = materialize(diagonals, "diagonals")  # two branches read it; else each would scan the texts
     whole = F.size("ats") == F.col("m") - K + 1
     exact = diagonals.where(whole & (F.col("base") | (F.col("m") <= 8))).select("doc_id", "text_hash", "label", "base", F.col("diagonal").alias("start"), (F.col("diagonal") + F.col("m")).alias("stop"), F.lit(1.0).alias("score"))
     along = Window.partitionBy("doc_id", "text_hash", "t").orderBy("diagonal")
