@@ -12,8 +12,14 @@ from pyspark.sql import functions as F
 from lattica.llm.common import materialize, ship
 from lattica.llm.components import connected_components
 
-#: Bits of a leaf's number in a leaf code; the tree's number is above them.
+#: Bits of a leaf's number in a leaf code; the tree's number, from 1, is above them. Dense groups have the codes below.
 LEAF_BITS = 24
+#: Rows of a comparison at a time, and random members that a node is searched for dense groups with.
+TILE, PIVOTS = 1024, 64
+#: A leaf of more blocks than this has blocks of WIDER times the size, so that fewer copies of its rows are sent.
+MANY_BLOCKS, WIDER = 16, 4
+#: A dense group whose surroundings hold more than this many times its members isn't compared with all of them.
+SURROUNDED = 3
 
 
 class Tree:
@@ -43,6 +49,8 @@ class Tree:
 
     def find(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(row, leaf) pairs: a row within the spill of a cut goes both ways."""
+        if not len(rows):
+            return np.zeros(0, int), np.zeros(0, int)
         todo, rows_out, leaves_out = [(0 if len(self.cuts) else -1, np.arange(len(rows)))], [], []
         while todo:
             node, at = todo.pop()
@@ -76,34 +84,93 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
+class DenseGroups:
+    """Balls around the centres of groups with more than ``inside`` linked members in a sample; such groups don't fit in a leaf.
+
+    A ball has the vectors with a cosine of at least ``least`` to its centre. What links with one of
+    them is within twice that angle of the centre, so comparing all rows there finds every link of the
+    ball: a closed group, whose members no tree need see. Where so much else is there that this would be
+    far more work than the group's own pairs, the group is open: its ball is compared, and its
+    members go to the trees too.
+    """
+
+    def __init__(self, sample: np.ndarray, inside: int, least: float, rng: np.random.Generator):
+        self.least, self.reach = least, max(-1.0, 2 * least * least - 1) if least > 0 else -1.0
+        free, centres, closed, todo = np.ones(len(sample), bool), [], [], [np.arange(len(sample))]
+        while todo:
+            node = todo.pop()
+            node = node[free[node]]
+            while len(node) > inside:
+                rows = sample[node]
+                near = rows @ rows[rng.choice(len(node), min(PIVOTS, len(node)), replace=False)].T >= least
+                best = near.sum(0).argmax()
+                if near[:, best].sum() <= inside:
+                    break
+                centre = rows[near[:, best]].mean(0)
+                for _ in range(3):
+                    centre = centre / np.linalg.norm(centre)
+                    held = rows @ centre >= least
+                    centre = rows[held].mean(0) if held.any() else centre
+                centre = centre / np.linalg.norm(centre)
+                cosines = sample @ centre
+                ball = cosines >= least
+                free[node[near[:, best]]] = False  # at least these are done with, so the search ends
+                free[ball] = False
+                centres.append(centre)
+                closed.append((cosines >= self.reach).sum() <= SURROUNDED * ball.sum())
+                node = node[free[node]]
+            if len(node) > inside:
+                at = sample[node] @ rng.standard_normal(sample.shape[1]).astype(np.float32)
+                left = at <= np.median(at)
+                if not left.all():
+                    todo += [node[left], node[~left]]
+        self.centres = np.array(centres, np.float32).reshape(-1, sample.shape[1])
+        self.closed = np.array(closed, bool)
+
+    def find(self, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(row, group) pairs to compare, and which rows the trees need: those outside the balls of closed groups."""
+        cosines = rows @ self.centres.T
+        at, group = np.nonzero(cosines >= np.where(self.closed, self.reach - 1e-5, self.least))
+        return at, group, ~((cosines >= self.least) & self.closed).any(1)
+
+
 def compare(ids: np.ndarray, sizes: np.ndarray, unit: np.ndarray, dims: np.ndarray, first: np.ndarray, codes: list[np.ndarray], code: int, least: float, alone: bool) -> tuple[np.ndarray, list[tuple[int, int]]]:
     """Links among the rows of a leaf, or of two blocks of it: (weight of links by row, a spanning forest as id pairs).
 
     A pair counts in the smallest code of the leaves that it shares, so no pair counts twice. Of two
     blocks (``alone`` false) only pairs across them are looked at; ``first`` marks the rows of one.
     """
-    linked = (unit @ unit.T >= least) & (dims[:, None] == dims)
-    np.fill_diagonal(linked, False)
-    if not alone:
-        linked &= first[:, None] != first
+    across = np.arange(len(ids)) if alone else np.flatnonzero(~first)
+    down = across if alone else np.flatnonzero(first)
     earlier = [c[c < code] for c in codes]
     seen, where = np.unique(np.concatenate(earlier), return_inverse=True) if earlier else (np.zeros(0), np.zeros(0, int))
-    if len(seen) and linked.any():
-        has = np.zeros((len(ids), len(seen)), np.float32)
-        has[np.repeat(np.arange(len(ids)), [len(c) for c in earlier]), where] = 1
-        linked &= has @ has.T < 0.5
-    weights = linked @ sizes
-    left, forest = np.ones(len(ids), bool), []
-    for root in np.flatnonzero(linked.any(1)):
-        if left[root]:
-            left[root] = False
-            stack = [root]
-            while stack:
-                i = stack.pop()
-                new = np.flatnonzero(linked[i] & left)
-                left[new] = False
-                stack += new.tolist()
-                forest += [(int(ids[i]), int(ids[j])) for j in new]
+    ends = np.cumsum([0, *[len(c) for c in earlier]])
+
+    def held(rows: np.ndarray) -> np.ndarray:
+        has = np.zeros((len(rows), len(seen)), np.float32)
+        for x, i in enumerate(rows):
+            has[x, where[ends[i] : ends[i + 1]]] = 1
+        return has
+
+    weights, group, forest, others = np.zeros(len(ids)), np.arange(len(ids)), [], None
+    for k in range(0, len(down), TILE):
+        rows = down[k : k + TILE]
+        linked = (unit[rows] @ unit[across].T >= least) & (dims[rows][:, None] == dims[across])
+        if alone:
+            linked[np.arange(len(rows)), k + np.arange(len(rows))] = False
+        if len(seen) and linked.any():
+            others = held(across) if others is None else others
+            linked &= held(rows) @ others.T < 0.5
+        weights[rows] += linked @ sizes[across]
+        if not alone:
+            weights[across] += sizes[rows] @ linked
+        for x in np.flatnonzero(linked.any(1)):
+            i = rows[x]
+            new = across[linked[x] & (group[across] != group[i])]
+            if len(new):
+                labels, at = np.unique(group[new], return_index=True)
+                forest += [(int(ids[i]), int(ids[j])) for j in new[at]]
+                group[np.isin(group, labels)] = group[i]
     return weights, forest
 
 
@@ -117,7 +184,9 @@ def near_vectors(
 
     Equal vectors are one class, compared once and counted as often as they occur. The trees are
     fitted on about ``sample`` distinct vectors, chosen by hash, and every vector is sent to its
-    leaves in every tree. Only vectors in one leaf are compared. A leaf of more than ``block``
+    leaves in every tree. Groups of near copies that don't fit in a leaf are found in the sample first
+    and compared whole, see DenseGroups: splits would separate most of their pairs. Only vectors in
+    one leaf or dense group are compared. A leaf of more than ``block``
     vectors is compared block by block, a task holding two blocks at most, and gives counts and
     spanning forests, never all its pairs: a large group of near copies is bounded in memory and
     output. Links over the threshold are verified, so what the forest can miss is a link, never add.
@@ -147,16 +216,22 @@ def near_vectors(
     share = int(min(1.0, sample / n) * (1 << 30))
     picked = classes.where(F.pmod(F.xxhash64("v"), F.lit(1 << 30)) < share).select("v").toArrow()
     fitted = _unit(_vectors(picked.column(0), dims, kind)).astype(np.float32) if picked.num_rows else np.zeros((0, dims), np.float32)
-    forest = spark.sparkContext.broadcast(grow_forest(fitted[np.lexsort(fitted.T)], n, trees, leaf, spill, seed))
+    fitted = fitted[np.lexsort(fitted.T)]
+    dense = DenseGroups(fitted, max(16, int(leaf * len(fitted) / n)), least, np.random.Generator(np.random.PCG64([seed, trees])))
+    rest = fitted[dense.find(fitted)[2]]
+    grown = grow_forest(rest, max(1, round(n * len(rest) / max(1, len(fitted)))), trees, leaf, spill, seed)
+    forest = spark.sparkContext.broadcast((dense, grown))
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for k in range(0, batch.num_rows, 2000):
                 some = batch.slice(k, 2000)
                 unit = _unit(_vectors(some.column(1), dims, kind)).astype(np.float32)
-                found = [tree.find(unit) for tree in forest.value]
-                at = np.concatenate([r for r, _ in found])
-                code = np.concatenate([x + (t << LEAF_BITS) for t, (_, x) in enumerate(found)])
+                at, group, loose = forest.value[0].find(unit)
+                loose = np.flatnonzero(loose)
+                found = [tree.find(unit[loose]) for tree in forest.value[1]]
+                at = np.concatenate([at, *[loose[r] for r, _ in found]])
+                code = np.concatenate([group, *[x + ((t + 1) << LEAF_BITS) for t, (_, x) in enumerate(found)]])
                 order = np.lexsort((code, at))
                 at, code = at[order], code[order].astype("<i8")
                 ends = np.searchsorted(at, np.arange(some.num_rows + 1))
@@ -164,7 +239,8 @@ def near_vectors(
                 yield pa.RecordBatch.from_arrays([*[some.column(i).take(pa.array(at)) for i in (0, 1, 2)], held.take(pa.array(at)), pa.array(code)], ["c", "v", "size", "codes", "code"])
 
     dealt = materialize(classes.select("c", "v", "size").mapInArrow(deal, "c long, v binary, size long, codes binary, code long"), "leaves")
-    large = dealt.groupBy("code").count().where(F.col("count") > block).select("code", F.ceil(F.col("count") / block).cast("int").alias("blocks"))
+    width = F.when(F.col("count") > MANY_BLOCKS * block, WIDER * block).otherwise(block)
+    large = dealt.groupBy("code").count().where(F.col("count") > block).select("code", F.ceil(F.col("count") / width).cast("int").alias("blocks"))
     dealt = dealt.join(large, "code", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
     dealt = dealt.withColumn("b", F.pmod(F.xxhash64("c"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))

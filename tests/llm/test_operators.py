@@ -335,6 +335,19 @@ def test_vector_forest(spark, block):
     assert forest.near_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).isEmpty()
 
 
+def test_vector_forest_dense_group(spark):
+    rng = np.random.default_rng(8)
+    centre = rng.standard_normal(64)
+    x = np.vstack([rng.standard_normal((8000, 64)), centre + 0.176 * rng.standard_normal((4000, 64))]).astype(np.float32)
+    found = forest.near_vectors(spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<float>"))
+    got = {r.vec_id: (r.n_links, r.component_id) for r in found.collect()}
+    u = x.astype(float) / np.linalg.norm(x.astype(float), axis=1, keepdims=True)
+    want = (u @ u.T >= 0.95).sum(1) - 1
+    assert want.sum() > 4000 * 3000 and sum(n for n, _ in got.values()) >= 0.999 * want.sum()
+    assert all(got[i][0] <= want[i] for i in got)
+    assert {got[i][1] for i in range(8000, 12000)} == {8000} and all(got[i] == (0, i) for i in range(8000) if want[i] == 0)
+
+
 # WARC
 
 
