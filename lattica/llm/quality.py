@@ -77,35 +77,45 @@ def risk_controlled_cutoffs(features: DataFrame, labels: DataFrame, limit: float
     With probability 1 - ``error``, in every stratum all signals together reject a share of at most
     ``limit`` of good documents. Labelled rows are dealt by the hash of their doc_id into a tuning
     half and a holdout. The tuning half proposes for each stratum and signal the cutoff with the most
-    bad rejections, less ``cost`` times the good ones. On the holdout the cutoffs are tested from the
-    laxest on, each by the exact binomial probability of as few false rejections at a true share of
-    ``limit`` over the number of signals; the first that isn't significant ends the walk (a fixed
-    sequence, which needs no correction among cutoffs), and strata times signals are corrected for by
-    Bonferroni. Where nothing is significant, as with few labels, there is no row: nothing is rejected.
+    bad rejections, less ``cost`` times the good ones, and the order of the signals: most gained first.
+    Rules are then tested on the holdout from the laxest on: the first signal's cutoff comes down to the
+    proposal step by step, then the next one's is added. Each test is on all rejections of the rule, by the exact
+    binomial probability of as few false ones at a true share of ``limit``; the first that isn't
+    significant ends the walk (a fixed sequence, which needs no correction among rules or signals).
+    Bonferroni corrects for the strata that have a proposal and enough good holdout rows to be
+    significant at all, which false rejections have no part in. Where nothing is significant, as with
+    few labels, there is no row: nothing is rejected.
     """
     good = labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).alias("good"))
-    marked = features.join(good, "doc_id").where("not base_failed")
-    values = F.explode(F.array(*[F.struct(F.lit(k).alias("signal"), F.col(f"at_{k}").alias("at")) for k in SIGNALS]))
     held = (F.xxhash64("doc_id", F.lit("holdout")) % 2 == 0).alias("held")
-    counts = marked.select("stratum", held, "good", values.alias("v")).groupBy("stratum", "v.signal", "v.at").agg(
-        F.count_if(F.expr("good and held")).alias("g_held"), F.count_if(F.expr("good and not held")).alias("g"), F.count_if(F.expr("not good and not held")).alias("b")
-    )
+    marked = features.join(good, "doc_id").where("not base_failed")
+    marked = materialize(marked.select("stratum", held, "good", F.create_map(*[c for k in SIGNALS for c in (F.lit(k), F.col(f"at_{k}"))]).alias("ats")), "marked")
+    counts = marked.where("not held").select("stratum", "good", F.explode("ats").alias("signal", "at")).groupBy("stratum", "signal", "at").agg(F.count_if("good").alias("g"), F.count_if(~F.col("good")).alias("b"))
     counts = materialize(counts, "counts")
     every = counts.select("stratum", "signal").distinct().select("stratum", "signal", F.explode(F.sequence(F.lit(0), F.lit(STEPS))).alias("at"))
-    counts = every.join(counts.withColumnRenamed("stratum", "s").withColumnRenamed("signal", "k").withColumnRenamed("at", "a"), F.expr("stratum <=> s and signal = k and at = a"), "left").na.fill(0, ["g_held", "g", "b"])
-    group = Window.partitionBy("stratum", "signal")
-    above = group.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
+    counts = every.join(counts.withColumnRenamed("stratum", "s").withColumnRenamed("signal", "k").withColumnRenamed("at", "a"), F.expr("stratum <=> s and signal = k and at = a"), "left").na.fill(0, ["g", "b"])
+    above = Window.partitionBy("stratum", "signal").orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, -1)
     over = lambda c: F.coalesce(F.sum(c).over(above), F.lit(0))
-    counts = counts.select(
-        "stratum", "signal", "at", over("g_held").alias("k"), F.sum("g_held").over(group).alias("n"), (over("b") - cost * over("g")).alias("gain")
-    )
-    best = F.max(F.struct("gain", "at")).over(group)
-    tests = max(1, every.count() // (STEPS + 1))
-    counts = counts.withColumn("best", best)
-    significant = binomial_tail(F.col("k"), F.col("n"), limit / len(SIGNALS)) <= error / tests
-    counts = counts.withColumn("failed", F.when(significant, 0).otherwise(1))
-    walk = counts.withColumn("failed", F.sum("failed").over(group.orderBy(F.desc("at")).rowsBetween(Window.unboundedPreceding, 0)))
-    return walk.where("failed = 0 and best.gain > 0 and at >= best.at").groupBy("stratum", "signal").agg(F.min("at").alias("cutoff"))
+    counts = counts.select("stratum", "signal", "at", (over("b") - cost * over("g")).alias("gain"))
+    proposed = counts.groupBy("stratum", "signal").agg(F.max(F.struct("gain", "at")).alias("best")).where("best.gain > 0")
+    order = Window.partitionBy("stratum").orderBy(F.desc("best.gain"), "signal")  # a row for each signal
+    proposed = proposed.select(F.col("stratum").alias("s"), "signal", F.col("best.at").alias("best"), (F.row_number().over(order) - 1).alias("turn"))
+    plans = materialize(proposed.groupBy("s").agg(F.sort_array(F.collect_list(F.struct("turn", "signal", "best"))).alias("plan")), "plans")  # one entry a signal
+    # place: the first rule of the walk that rejects the row
+    place = lambda x: F.when(F.col("ats")[x.signal] > x.best, x.turn * STEPS + STEPS - F.col("ats")[x.signal])
+    judged = marked.where("held and good").join(plans, F.col("stratum").eqNullSafe(F.col("s")))
+    false = materialize(judged.groupBy("s", F.array_min(F.transform("plan", place)).alias("place")).agg(F.count("*").alias("k")), "false")
+    enough = false.groupBy(F.col("s").alias("t")).agg(F.sum("k").alias("n")).where(F.col("n") * math.log1p(-limit) <= math.log(error))
+    tests = max(1, enough.count())
+    walk = plans.join(enough, F.col("s").eqNullSafe(F.col("t"))).select("s", "n", F.explode("plan").alias("x"))
+    walk = walk.select("s", "n", "x.*", F.explode(F.sequence(F.lit(1), STEPS - F.col("x.best"))).alias("down"))
+    walk = walk.select(F.col("s").alias("stratum"), "n", "signal", (STEPS - F.col("down")).alias("cutoff"), (F.col("turn") * STEPS + F.col("down") - 1).alias("at"))
+    walk = walk.join(false.where("place is not null"), F.expr("stratum <=> s and at = place"), "left")
+    so_far = Window.partitionBy("stratum").orderBy("at").rowsBetween(Window.unboundedPreceding, 0)  # STEPS rows a signal at most
+    walk = walk.withColumn("k", F.sum(F.coalesce("k", F.lit(0))).over(so_far))
+    significant = binomial_tail(F.col("k"), F.col("n"), limit) <= error / tests
+    walk = walk.withColumn("failed", F.sum(F.when(significant, 0).otherwise(1)).over(so_far))
+    return walk.where("failed = 0").groupBy("stratum", "signal").agg(F.min("cutoff").alias("cutoff"))
 
 
 def apply_quality_rules(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", stratum_col: str = "lang", **options) -> DataFrame:

@@ -285,6 +285,18 @@ def test_quality_cutoffs_reject_junk_and_keep_good(spark):
     assert by.get((True, True), 0) == 0 and by.get((False, False), 0) == 0
 
 
+def test_quality_certifies_strata_of_some_hundred_good_labels(spark):
+    rows, labels = [], []
+    for i in range(6_000):
+        bad = i % 5 == 0
+        words = [WORDS[(i * 7 + k * k + k * (i % 11)) % 20] + ("###" if bad else "") + str((i + k * 31) % 97) for k in range(25)]
+        rows.append((i, " ".join(words), ["en", "de", "fr", None][i // 5 % 4]))
+        labels.append((i, int(not bad)))
+    out = quality.apply_quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame(labels, "doc_id long, quality int"))
+    by = {(r.bad, r.kept): r["count"] for r in out.where("not base_failed").groupBy((F.col("doc_id") % 5 == 0).alias("bad"), "kept").count().collect()}
+    assert by.get((True, True), 0) == 0 and by.get((False, False), 0) == 0 and by[True, False] > 1000
+
+
 def test_binomial_tail(spark):
     from math import comb
 
