@@ -13,6 +13,8 @@ from lattica.llm.common import WORD, let, materialize
 BUCKET_ROWS = 4096
 #: Standard deviations on either side within which a split is drawn; beyond, the probability is under 1e-15.
 REACH = 9
+#: Runs of turns that a shard is dealt to tasks in.
+SLICES = 64
 
 
 def _log_factorial(x: Column) -> Column:
@@ -136,7 +138,7 @@ def mix(
     last of them cut to the word: so the words taken are the target, rounded. The blocks drawn are
     the source's slots; split_quotas deals the slots to 2**levels shards, and each shard gets its own stretch
     of each source's permuted slots. A piece is (shard, turn, pass, start, n): ``turn`` is the hashed
-    order within the shard, start and n are words of the document, from 0. shuffled() lays pieces out.
+    order within the shard, start and n are words of the document, from 0. shuffled() and mixed_documents() lay the mix out.
 
     Null texts have size 0; a null source is a source, last in the order; repeated rows are rows of
     their own; an empty table gives no rows. Nothing else of ``docs`` is read. Reruns agree: where
@@ -177,17 +179,23 @@ def mix(
     return rows.select("doc_id", "text_hash", "source", "size", "source_size", "target", F.filter(pieces, lambda x: x.n > 0).alias("pieces"))
 
 
+def lay_out(rows: DataFrame, shard: str, turn: str, *ties: str) -> DataFrame:
+    """``rows`` in the order of shard and turn in each partition; a shard is cut into SLICES by turn, each whole in one partition."""
+    return rows.repartition(F.col(shard), F.shiftrightunsigned(turn, 64 - SLICES.bit_length() + 1)).sortWithinPartitions(shard, turn, *ties)
+
+
 def shuffled(mixed: DataFrame) -> DataFrame:
     """The pieces of mix(), a row each, shards side by side and in random order within."""
     pieces = mixed.select("doc_id", "text_hash", "source", F.explode("pieces").alias("p")).select("doc_id", "text_hash", "source", "p.*")
-    return pieces.repartition("shard").sortWithinPartitions("shard", "turn", "doc_id", "start")
+    return lay_out(pieces, "shard", "turn", "doc_id", "start")
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", chars_col: str = "n_chars", **options) -> DataFrame:
     """The columns of ``docs``, a row for each document and pass that the mix takes words of, text cut to what is taken.
 
     Whole documents keep their text; of others the stretches taken are joined by line feeds. n_chars
-    follows the text. Documents without words, which can't add any, go.
+    follows the text. Documents without words, which can't add any, go. Rows are laid out by shard and
+    turn: a row has those of its piece with the least turn, so a random one of its pieces decides.
     """
     taken = mix(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("size").alias("_size"), F.col("pieces").alias("_pieces")).where("size(_pieces) > 0")
     same = Window.partitionBy("_d", "_h").orderBy(F.lit(0))
@@ -196,8 +204,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn("_copy_i", F.row_number().over(Window.partitionBy("_di", "_hi").orderBy(F.lit(0))))
     rows = rows.join(taken, F.expr("_di <=> _d and _hi = _h and _copy_i = _copy"))
     passes = F.array_distinct(F.transform("_pieces", lambda x: x["pass"]))
-    rows = rows.withColumn("_pass", F.explode(passes))
-    mine = F.sort_array(F.transform(F.filter("_pieces", lambda x: x["pass"] == F.col("_pass")), lambda x: F.struct(x.start.alias("start"), x.n.alias("n"))))
+    rows = rows.withColumn("_pass", F.explode(passes)).withColumn("_own", F.filter("_pieces", lambda x: x["pass"] == F.col("_pass"))).drop("_pieces")
+    rows = rows.withColumn("_place", F.array_min(F.transform("_own", lambda x: F.struct(x.turn.alias("turn"), x.shard.alias("shard")))))
+    mine = F.sort_array(F.transform("_own", lambda x: F.struct(x.start.alias("start"), x.n.alias("n"))))
     rows = rows.withColumn("_mine", mine).withColumn("_words", F.when(F.aggregate("_mine", F.lit(0).cast("long"), lambda a, x: a + x.n) < F.col("_size"), F.regexp_extract_all(text_col, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))))
     follows = lambda x, i: (i > 0) & (F.get("_mine", i - 1).start + F.get("_mine", i - 1).n == x.start)
     stretch = lambda x, i: F.concat(F.when(follows(x, i), F.lit("")).when(i > 0, F.lit("\n")).otherwise(F.lit("")), F.when(follows(x, i), F.array_join(F.slice("_words", x.start + 1, x.n), "")).otherwise(F.ltrim(F.array_join(F.slice("_words", x.start + 1, x.n), ""), F.lit(" \t\n\x0b\x0c\r"))))
@@ -205,4 +214,5 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rows = rows.withColumn(text_col, text)
     if chars_col in docs.columns:
         rows = rows.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    return rows.select(*docs.columns)
+    rows = rows.select(*docs.columns, F.col("_place.shard").alias("_shard"), F.col("_place.turn").alias("_turn"), "_pass")
+    return lay_out(rows, "_shard", "_turn", id_col, "_pass").select(*docs.columns)

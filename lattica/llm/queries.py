@@ -44,8 +44,12 @@ def op3_vector_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    taken = F.aggregate("pieces", F.lit(0).cast("long"), lambda a, x: a + x.n)
-    return mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", taken.alias("taken"))
+    words = lambda pieces: F.aggregate(pieces, F.lit(0).cast("long"), lambda a, x: a + x.n)
+    shards = F.array_sort(F.array_distinct(F.transform("pieces", lambda x: x.shard)))
+    by_shard = F.transform(shards, lambda s: F.concat_ws(":", s, words(F.filter("pieces", lambda x: x.shard == s))))
+    place = F.array_min(F.transform("pieces", lambda x: F.struct(x.turn.alias("turn"), x.shard.alias("shard"))))
+    mixed = mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", words(F.col("pieces")).alias("taken"), F.size("pieces").alias("n_pieces"), F.array_join(by_shard, ",").alias("shard_words"), place.alias("place"))
+    return mixed.select("doc_id", "size", "source_size", "target", "taken", "n_pieces", "shard_words", "place.shard", "place.turn")
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -215,6 +215,26 @@ def test_mixed_documents_keep_words(docs):
     assert sum(len(re.findall(r"[^\x20\x09-\x0D]+", r.text)) for r in out.collect()) == taken
 
 
+def test_mix_is_laid_out_by_shard_and_turn(spark):
+    rows = [(i, f"d{i} " + prose(i, 20 + i % 700), ["a", "b", "c"][i % 3], 0) for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n_chars long").coalesce(1)
+    mixed = mixing.mix(docs, levels=3).collect()
+    pieces = [(p["shard"], r.source, p["pass"], r.doc_id, p["turn"]) for r in mixed for p in r.pieces]
+    laid = mixing.shuffled(mixing.mix(docs, levels=3)).select("shard", "turn", F.spark_partition_id().alias("part")).collect()
+    assert sorted((r.shard, r.turn) for r in laid) == sorted((s, t) for s, *_, t in pieces)
+    assert all((a.shard, a.turn) <= (b.shard, b.turn) for a, b in zip(laid, laid[1:]) if a.part == b.part)
+    place = collections.defaultdict(list)
+    for s, _, p, d, t in pieces:
+        place[d, p].append((t, s))
+    at = collections.defaultdict(list)
+    for (d, _), found in place.items():
+        at[d].append((min(found)[1], min(found)[0]))
+    out = mixing.mixed_documents(docs, levels=3).select("doc_id", F.spark_partition_id().alias("part")).collect()
+    assert collections.Counter(r.doc_id for r in out) == {d: len(x) for d, x in at.items()}
+    single = [(r.part, at[r.doc_id][0]) for r in out if len(at[r.doc_id]) == 1]
+    assert len(single) > 50 and all(a[1] <= b[1] for a, b in zip(single, single[1:]) if a[0] == b[0])
+
+
 def test_hypergeometric_is_exact(spark):
     from math import comb
 
