@@ -272,16 +272,16 @@ register("topological_levels", f"WITH RECURSIVE {TREE}, up(v, level) AS (SELECT
 _ROUNDS = 6
 _PR = "".join(f", r{i + 1} AS MATERIALIZED (SELECT vs.v, 0.15 / n + 0.85 * coalesce(g.x, 0) AS x FROM vs CROSS JOIN nn LEFT JOIN (SELECT b.u AS v, sum(r{i}.x / d.d) AS x FROM b JOIN r{i} ON r{i}.v = b.v JOIN d ON d.v = b.v GROUP BY 1) g ON g.v = vs.v)" for i in range(_ROUNDS))
 register("pagerank", f"WITH {COPURCHASE}, {DEG}, nn AS (SELECT count(*) AS n FROM vs), r0 AS (SELECT vs.v, 1.0 / n AS x FROM vs, nn){_PR} SELECT v, {f32('x')} AS rank FROM r{_ROUNDS}")(lambda s, p: iterate.pagerank(copurchase(s, p), rounds=_ROUNDS))
-register("pagerank_converged")(lambda s, p: iterate.pagerank(trade(s, p)))
+register("pagerank_converged")(lambda s, p: iterate.pagerank(copurchase(s, p)))
 register("power_step", f"WITH {COPURCHASE}, {DEG} SELECT b.v, {f32('sum(d.d)')} AS x FROM b JOIN d ON d.v = b.u GROUP BY 1")(lambda s, p: iterate.power_step(g := copurchase(s, p), g.degrees().select("v", F.col("d").cast("double").alias("x"))))
 register("katz_centrality")(lambda s, p: iterate.katz_centrality(tree(s, p), 0.02))
-register("hub_and_authority_scores")(lambda s, p: iterate.hub_and_authority_scores(trade(s, p), 10))
+register("hub_and_authority_scores")(lambda s, p: iterate.hub_and_authority_scores(copurchase(s, p)))
 register("eigenvector_centrality")(lambda s, p: iterate.eigenvector_centrality(trade(s, p), tolerance=1e-7))
 register("coreness", f"WITH {TREE} SELECT v, CAST(1 AS BIGINT) AS coreness FROM vs")(lambda s, p: iterate.coreness(tree(s, p)))
 register("trussness", f"WITH {TREE} SELECT src AS a, dst AS b, CAST(2 AS BIGINT) AS truss FROM e")(lambda s, p: iterate.trussness(tree(s, p)))
 register("minimum_spanning_forest", "SELECT count(DISTINCT l_partkey) + count(DISTINCT l_suppkey) - 1 AS edges FROM lineitem")(lambda s, p: iterate.minimum_spanning_forest(_lightest(ordered(s, p))).agg(F.count("*").alias("edges")))
 register("wl_colours", f"WITH {SMALL_TREE} SELECT CAST(CASE WHEN v < {NATIONS} THEN 5 ELSE 25 END AS BIGINT) AS size FROM (SELECT DISTINCT v < {NATIONS} AS top, CASE WHEN v < {NATIONS} THEN 0 ELSE {NATIONS} END AS v FROM vs)")(lambda s, p: iterate.wl_colours(small_tree(s, p), 2).groupBy("colour").agg(F.count("*").alias("size")).select("size"))
-register("label_propagation")(lambda s, p: iterate.label_propagation(copurchase(s, p), 5))
+register("label_propagation")(lambda s, p: iterate.label_propagation(copurchase(s, p)))
 register("label_spread")(lambda s, p: iterate.label_spread(tree(s, p), table(s, p, "region").selectExpr("cast(r_regionkey as long) as v", "cast(r_regionkey as long) as label"), 6))
 register("random_walks")(lambda s, p: iterate.random_walks(g := tree(s, p), g.vertices.select(F.col("v").alias("walk"), "v"), 5, 1))
 

@@ -127,3 +127,32 @@ def test_dimacs(spark, tmp_path):
     formats.write_dimacs(g, 0, 2).coalesce(1).write.text(str(tmp_path / "f"))
     back, s, t = formats.read_dimacs(spark, str(tmp_path / "f"))
     assert (s, t, pairs(back)) == (0, 2, pairs(g))
+
+
+def test_fixed_points_of_the_copurchase_graph_run_to_their_end(spark, tmp_path):
+    from lattica.catalogue import CATALOGUE
+
+    n = 24
+    baskets = [(o, p) for o in range(n - 1) for p in (o + 1, o + 2)] + [(99, 1), (99, 7), (99, 13)]
+    spark.createDataFrame([(o, p, 1, 1, 1.0) for o, p in baskets], "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    near = {v: set() for v in range(1, n + 1)}
+    for o, p in baskets:
+        for q in (b for a, b in baskets if a == o and b != p):
+            near[p].add(q)
+    rank = {v: 1 / n for v in near}
+    for _ in range(2000):
+        rank = {v: 0.15 / n + 0.85 * sum(rank[u] / len(near[u]) for u in near[v]) for v in near}
+    got = {r.v: r["rank"] for r in CATALOGUE["pagerank_converged"].run(spark, str(tmp_path)).collect()}
+    assert got.keys() == rank.keys() and all(abs(got[v] - rank[v]) < 1e-7 for v in rank)
+    hub = {v: 1.0 for v in near}
+    for _ in range(50):
+        authority = {v: sum(hub[u] for u in near[v]) for v in near}
+        hub = {v: sum(authority[u] for u in near[v]) for v in near}
+        hub = {v: x / max(hub.values()) for v, x in hub.items()}
+    got = {r.v: r.hub for r in CATALOGUE["hub_and_authority_scores"].run(spark, str(tmp_path)).collect()}
+    assert all(abs(got[v] - hub[v]) < 1e-6 for v in hub)
+    label = {v: v for v in near}
+    for _ in range(20):
+        votes = {v: [label[v], *[label[u] for u in near[v]]] for v in near}
+        label = {v: min(set(x), key=lambda y: (-x.count(y), y)) for v, x in votes.items()}
+    assert {r.v: r.label for r in CATALOGUE["label_propagation"].run(spark, str(tmp_path)).collect()} == label
