@@ -19,19 +19,39 @@ from lattica.llm.common import ship
 CRLF = "\r\n"
 _SPACE = uuid.UUID("6f3c1f0e-6f0f-5c1e-9d2a-0d5f6a1b7c11")
 # Elements whose content isn't shown, and elements that end a line.
-_HIDDEN = "script style noscript template head iframe object svg canvas"
+_HIDDEN = "script style title noscript template iframe object svg canvas"
+# Of these, the ones that hide all the rest of a page which doesn't close them.
+_RAW = frozenset(("script", "style"))
 _BREAKS = "address article aside blockquote br button dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr legend li main nav ol option p pre section select summary table tbody td tfoot th thead title tr ul"
 
 _TITLE = re.compile(r"<title\b[^>]*>(.*?)</title\s*>", re.I | re.S)
-_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(_HIDDEN.split()) + r")\b[^>]*>.*?(?:</\1\s*>|\Z)|<[!?][^>]*>", re.I | re.S)
+_DROP = re.compile(r"<!--.*?(?:-->|\Z)|<(" + "|".join(_HIDDEN.split()) + r")\b[^>]*>|<[!?][^>]*>", re.I | re.S)
+_CLOSE = {k: re.compile(rf"</{k}\s*>", re.I) for k in _HIDDEN.split()}
 _TAG = re.compile(r"</?([a-zA-Z][^\s/>]*)(?:[^>\"']|\"[^\"]*\"|'[^']*')*>")
 _BREAKING = frozenset(_BREAKS.split())
 
 
+def _shown(page: str) -> str:
+    """The page without comments, declarations and hidden elements. One that is never closed hides its tag only, unless it is in _RAW."""
+    out, at, unclosed = [], 0, set()
+    while m := _DROP.search(page, at):
+        out += [page[at : m.start()], " "]
+        at, name = m.end(), (m[1] or "").lower()
+        if name and not (name == "svg" and m[0].endswith("/>")) and name not in unclosed:
+            close = _CLOSE[name].search(page, at)
+            if close:
+                at = close.end()
+            elif name in _RAW:
+                at = len(page)
+            else:
+                unclosed.add(name)  # nor is any later one closed
+    return "".join([*out, page[at:]])
+
+
 def plain_text(page: str) -> str:
     """The shown text of an HTML page: the title, then a line for each block; white space is folded, empty lines go."""
     title = _TITLE.search(page)
-    body = _TAG.sub(lambda m: "\n" if m[1].lower() in _BREAKING else "", _DROP.sub(" ", re.sub(r"[\n\r\t\f]+", " ", page)))
+    body = _TAG.sub(lambda m: "\n" if m[1].lower() in _BREAKING else "", _shown(re.sub(r"[\n\r\t\f]+", " ", page)))
     lines = [" ".join(html.unescape(x).split()) for x in [title[1] if title else "", *body.split("\n")]]
     return "\n".join(x for x in lines if x)
 

@@ -403,6 +403,16 @@ def test_warc_derivatives(spark):
         list(warc.read_records(data[:-10]))
 
 
+def test_warc_text_of_unclosed_elements():
+    assert warc.plain_text("<html><head><title>T</title><body><p>all the text</p></body></html>") == "T\nall the text"
+    assert warc.plain_text("<head><title>T</title><style>p{}</style><p>all the text") == "T\nall the text"
+    for name in ("iframe", "object", "canvas", "svg", "template", "noscript"):
+        assert warc.plain_text(f"<p>a</p><{name} x=1><p>all the text</p>") == "a\nall the text"
+        assert warc.plain_text(f"<p>a</p><{name} x=1>no</{name.upper()} ><p>b</p>") == "a\nb"
+    for name in ("script", "style"):
+        assert warc.plain_text(f"<p>a</p><{name}>no<p>no</p>") == "a"
+
+
 # Personal data
 
 
