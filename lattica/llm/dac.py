@@ -114,7 +114,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
     are not in it. ``folder`` is a URI that Spark and pyarrow.fs both know and all machines share.
 
     Null texts count as empty: ``end_id`` alone. A null doc_id comes first; rows of one doc_id are in
-    the order of their texts. An empty table gives an empty manifest. Other columns are not read.
+    the order of their texts' hashes, over as many tasks as they need. An empty table gives an empty manifest. Other columns are not read.
     A file is closed at the document that brings it to ``file_tokens``, so memory is bounded by that
     and the longest document.
     """
@@ -124,16 +124,16 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
 
         store, root = fs.FileSystem.from_uri(folder)
         store.create_dir(root, recursive=True)
-        end = end_id.to_bytes(4, "little")
+        end = np.array([end_id], "<u4")
         part, segment = TaskContext.get().partitionId(), 0
         doc_ids: list[int | None] = []
-        held: list[bytes] = []
+        held: list[np.ndarray] = []
         size = 0
 
         def flush() -> pa.RecordBatch:
             nonlocal doc_ids, held, size, segment
-            starts = np.concatenate([[0], np.cumsum([len(x) // 4 for x in held])])
-            data = pack(doc_ids, starts, np.frombuffer(b"".join(held), "<u4"))
+            starts = np.concatenate([[0], np.cumsum([len(x) + 1 for x in held])])
+            data = pack(doc_ids, starts, np.concatenate([x for ids in held for x in (ids, end)]))
             name = f"tokens-{part:06d}-{segment:05d}-{uuid.uuid4().hex[:8]}.dac"
             with store.open_output_stream(f"{root}/{name}") as out:
                 out.write(data)
@@ -141,14 +141,14 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
             doc_ids, held, size, segment = [], [], 0, segment + 1
             return pa.RecordBatch.from_pydict(row, schema=pa.schema([("name", pa.string()), ("part", pa.int64()), ("segment", pa.int64()), ("n_docs", pa.int64()), ("n_tokens", pa.int64())]))
 
-        encode = encoder(tokenizer).encode
+        groups = encoder(tokenizer).groups
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                some = batch.slice(k, 1024)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
-                    doc_ids.append(doc_id)
-                    held.append(ids + end)
-                    size += len(ids) // 4 + 1
+            batch_ids = iter(batch.column(0).to_pylist())
+            for ids, ends in groups(batch.column(1)):
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                    doc_ids.append(next(batch_ids))
+                    held.append(ids[a:b])
+                    size += b - a + 1
                     if size >= file_tokens:
                         yield flush()
         if doc_ids:
@@ -156,7 +156,8 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    ordered = rows.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
     made = materialize(ordered.mapInArrow(run, "name string, part long, segment long, n_docs long, n_tokens long"), "manifest")
     earlier = Window.orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return made.withColumn("first_token", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)))

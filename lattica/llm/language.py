@@ -15,6 +15,8 @@ from lattica.llm.common import ship
 SPACE = 32
 #: Letter vectors that a worker remembers, and distinct trigrams bound at once.
 LETTERS, AT_ONCE = 20_000, 4096
+#: Rows whose trigrams are summed together.
+SLICE = 500
 
 
 @cache
@@ -75,7 +77,7 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = Space(size, seed), {}
-        for batch in batches:
+        for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
             found: dict[str, list] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found.setdefault(lang, []).append(trigrams(text.as_py()))

@@ -103,17 +103,16 @@ def pack_documents(
         return pa.RecordBatch.from_pydict(out, schema=_SCHEMA)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, end = encoder(tokenizer).encode, end_id.to_bytes(4, "little")
+        groups, end = encoder(tokenizer).groups, end_id.to_bytes(4, "little")
         packer = Packer(capacity, windows, cut, TaskContext.get().partitionId() << 36)
         texts: dict[int, tuple] = {}
         n = 0
         for batch in batches:
-            for k in range(0, batch.num_rows, 1024):
-                some = batch.slice(k, 1024)
-                for doc_id, ids in zip(some.column(0).to_pylist(), encode(some.column(1).to_pylist())):
-                    ids += end
-                    texts[n] = (doc_id, ids)
-                    packer.add(n, 0, len(ids) // 4)
+            doc_ids = iter(batch.column(0).to_pylist())
+            for ids, ends in groups(batch.column(1)):
+                for a, b in zip(ends[:-1].tolist(), ends[1:].tolist()):
+                    texts[n] = (next(doc_ids), ids[a:b].tobytes() + end)
+                    packer.add(n, 0, b - a + 1)
                     n += 1
                 yield rows(packer.drain(), False, texts)
                 texts = {i: texts[i] for _, pieces in packer.open for i, _, _ in pieces}
