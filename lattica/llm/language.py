@@ -98,17 +98,20 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
     return {r.lang: np.array(r.p) for r in sorted(found, key=lambda r: r.lang) if np.any(r.p)}
 
 
-def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str], text_col: str = "text", size: int = 1024, seed: int = 7) -> DataFrame:
-    """The columns ``keep`` of every row, lang_pred and score: the language whose prototype has the largest cosine with the text's vector, and that cosine, 0 at least.
+def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str], text_col: str = "text", size: int = 1024, seed: int = 7, names: tuple[str, str] = ("lang_pred", "score")) -> DataFrame:
+    """The columns ``keep`` of every row, lang_pred and score, or what ``names`` calls them: the language whose prototype has the largest cosine with the text's vector, and that cosine, 0 at least.
 
     Ties go to the first language by code point. Texts that are null or have no letter, and all texts if
-    nothing was learned, are ``und`` with score 0. Only the text is looked at.
+    nothing was learned, are ``und`` with score 0. Only the text is looked at. A kept column that has one of
+    the two names is an error.
     """
-    names = sorted(profiles)
-    matrix = np.array([profiles[k] / np.linalg.norm(profiles[k]) for k in names]) if names else np.zeros((0, size))
+    if {x.lower() for x in names} & {x.lower() for x in keep}:
+        raise ValueError(f"a column is already called {names[0]} or {names[1]}")
+    known = sorted(profiles)
+    matrix = np.array([profiles[k] / np.linalg.norm(profiles[k]) for k in known]) if known else np.zeros((0, size))
     picked = docs.select(*keep, *[] if text_col in keep else [text_col])
     at = picked.columns.index(text_col)
-    schema = docs.select(*keep).schema.add("lang_pred", "string").add("score", "double")
+    schema = docs.select(*keep).schema.add(names[0], "string").add(names[1], "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space = Space(size, seed)
@@ -117,15 +120,15 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str],
             for text in batch.column(at):
                 lang, score = "und", 0.0
                 grams, counts = trigrams(text.as_py())
-                if len(grams) and names:
+                if len(grams) and known:
                     v = space.bundle(grams, counts)
                     if norm := np.linalg.norm(v):
                         near = matrix @ (v / norm)
-                        lang, score = names[int(near.argmax())], float(min(1.0, max(0.0, near.max())))
+                        lang, score = known[int(near.argmax())], float(min(1.0, max(0.0, near.max())))
                 langs.append(lang)
                 scores.append(score)
             columns = [*batch.columns[: len(keep)], pa.array(langs, pa.string()), pa.array(scores, pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
 
     ship(docs.sparkSession)
     return picked.mapInArrow(run, schema)
