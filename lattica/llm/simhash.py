@@ -37,17 +37,18 @@ def fingerprint(text: bytes | None, ngram: int = 4) -> int:
 
 
 def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4) -> DataFrame:
-    """(doc_id long, fp long), one row per row of ``docs``; a null text counts as empty."""
+    """(doc_id long, text_hash long, fp long), one row per row of ``docs``; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).cast(pa.binary())
+            texts = batch.column(2).cast(pa.binary())
             fps = np.array([fingerprint(t.as_py(), ngram) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], ["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(fps)], ["doc_id", "text_hash", "fp"])
 
     ship(docs.sparkSession)
-    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return picked.mapInArrow(run, "doc_id long, fp long")
+    text = F.col(text_col).cast("string")
+    picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
+    return picked.mapInArrow(run, "doc_id long, text_hash long, fp long")
 
 
 def byte_sets(size: int) -> list[tuple[int, ...]]:
@@ -137,12 +138,20 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", ngram: int = 4, max_bits: int = 4) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is the least of their group, with their columns.
+    """One row of ``docs`` for each group of near copies, with its columns: that of the least doc_id, null last.
 
-    Of rows that share that doc_id one stays. Rows without a doc_id can't be named by a group, so
-    they stay as they are.
+    Of rows that share that doc_id, the text with the least hash stays; of rows equal in both, any one. So
+    rows with one doc_id, or none, and unrelated texts are all kept. Links and the treatment of null and empty
+    texts are as in simhash_groups(); an empty table stays empty.
     """
-    groups = simhash_groups(docs, id_col, text_col, ngram, max_bits)
-    heads = groups.where("doc_id = component_id").select(F.col("doc_id").alias("_lattica_head"))
-    kept = docs.join(heads, F.col(id_col) == F.col("_lattica_head"), "left_semi").dropDuplicates([id_col])
-    return kept.unionByName(docs.where(F.col(id_col).isNull()))
+    prints = materialize(with_fingerprints(docs, id_col, text_col, ngram), "prints")
+    place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
+    least = prints.groupBy("fp").agg(F.min(place).alias("head"))
+    heads = near_links(prints, max_bits).join(least, "fp").groupBy("component").agg(F.min("head").alias("head")).select("head.doc_id", "head.text_hash")
+    heads = materialize(heads, "heads")
+    text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("i"), text.alias("h"))
+    kept = rows.join(heads, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")), "left_semi")
+    if not prints.groupBy("doc_id", "text_hash").count().where("count > 1").isEmpty():  # else the texts needn't move
+        kept = kept.dropDuplicates(["i", "h"])
+    return kept.select("row.*")
