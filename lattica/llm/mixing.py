@@ -9,8 +9,10 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import WORD, let, materialize
 
-#: Rows that a numbering task has at once, about.
-BUCKET_ROWS = 4096
+#: Rows that a numbering task has at once, about, and buckets of a source whose sums one task adds up.
+BUCKET_ROWS, GROUP = 512, 1024
+#: Words of a shard, about, where the number of shards isn't given; and the most levels, for 1,024 shards.
+SHARD_WORDS, MOST_LEVELS = 4_000_000, 10
 #: Standard deviations on either side within which a split is drawn; beyond, the probability is under 1e-15.
 REACH = 9
 #: Runs of turns that a shard is dealt to tasks in.
@@ -111,24 +113,45 @@ def target_words(sizes: DataFrame, weights: tuple[float, ...], share: float, lim
 
 
 def _laid_out(docs: DataFrame, seed: int) -> DataFrame:
-    """Adds at, the words of the source before the row, rows being in the order of a keyed hash: a prefix sum in two steps.
+    """Adds at, the words of the source before the row, rows being in the order of a keyed hash: a prefix sum in three steps.
 
     Rows are dealt into buckets by the hash, of about BUCKET_ROWS rows however large a source is; buckets
-    are summed, and rows are ordered within buckets only.
+    are summed, groups of GROUP buckets are summed, and rows are ordered within buckets only.
     """
     buckets = max(1, math.ceil(docs.count() / BUCKET_ROWS))
-    docs = docs.withColumn("place", F.xxhash64("doc_id", "size", F.lit(seed))).withColumn("bucket", F.pmod("place", F.lit(buckets)))
-    before = Window.partitionBy("_s").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    sums = docs.groupBy(F.col("source").alias("_s"), F.col("bucket").alias("_b")).agg(F.sum("size").alias("_n"))
-    sums = sums.select("_s", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("base"))
-    inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    docs = docs.withColumn("place", F.xxhash64("doc_id", "text_hash", F.lit(seed))).withColumn("bucket", F.pmod("place", F.lit(buckets)))
+    earlier = lambda w: F.coalesce(F.sum("_n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sums = docs.groupBy(F.col("source").alias("_s"), F.col("bucket").alias("_b")).agg(F.sum("size").alias("_n")).withColumn("_g", F.expr(f"_b div {GROUP}"))
+    groups = sums.groupBy(F.col("_s").alias("_t"), F.col("_g").alias("_h")).agg(F.sum("_n").alias("_n"))
+    groups = groups.select("_t", "_h", earlier(Window.partitionBy("_t").orderBy("_h")).alias("first"))  # a row for GROUP * BUCKET_ROWS rows
+    sums = sums.withColumn("inner", earlier(Window.partitionBy("_s", "_g").orderBy("_b")))
+    sums = sums.join(groups, F.col("_s").eqNullSafe(F.col("_t")) & (F.col("_g") == F.col("_h"))).select("_s", "_b", (F.col("first") + F.col("inner")).alias("base"))
+    inside = Window.partitionBy("source", "bucket").orderBy("place", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, -1)
     docs = docs.withColumn("within", F.coalesce(F.sum("size").over(inside), F.lit(0)))
     docs = docs.join(sums, F.col("source").eqNullSafe(F.col("_s")) & (F.col("bucket") == F.col("_b")))
     return docs.withColumn("at", F.col("base") + F.col("within")).drop("_s", "_b", "base", "within", "place", "bucket")
 
 
+def _coprime(n: Column) -> Column:
+    """The first number from 0.618 n on that has no factor in common with n (n from 1 to 2**39): of 128 in a row there always is one."""
+
+    def gcd(k: Column) -> Column:  # Euclid's steps; a pair shrinks by more than half in two
+        start = F.struct(n.cast("long").alias("a"), k.alias("b"))
+        step = lambda x, _: F.when(x.b > 0, F.struct(x.b.alias("a"), (x.a % F.greatest(x.b, F.lit(1))).alias("b"))).otherwise(x)
+        return F.aggregate(F.sequence(F.lit(1), F.lit(80)), start, step, lambda x: x.a)
+
+    first = F.greatest(F.floor(n * 0.6180339887498949), F.lit(1)).cast("long")
+    return F.get(F.filter(F.sequence(first, first + 127), lambda k: gcd(k) == 1), F.lit(0))
+
+
+def _times(b: Column, step: Column, n: Column) -> Column:
+    """b * step modulo n without overflow, for b, step and n up to 2**39: the upper bits of the step first."""
+    upper, lower = F.shiftright(step, 16), step.bitwiseAND(F.lit(0xFFFF))
+    return ((b * upper) % n * 65536 + b * lower) % n
+
+
 def mix(
-    docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, block: int = 256, levels: int = 5, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
+    docs: DataFrame, weights: tuple[float, ...] = (3, 1, 2), share: float = 1.5, limit: float = 2.0, block: int = 256, levels: int | None = None, seed: int = 17, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source"
 ) -> DataFrame:
     """A row for each row of ``docs``: doc_id, text_hash, source, size (words), source_size, target, and pieces, what the mix takes of it.
 
@@ -136,8 +159,8 @@ def mix(
     ``block`` words. Its target is as many whole passes of the stream as fit, then a share of the
     blocks of one more pass, drawn without repeats in the order of a keyed affine permutation, the
     last of them cut to the word: so the words taken are the target, rounded. The blocks drawn are
-    the source's slots; split_quotas deals the slots to 2**levels shards, and each shard gets its own stretch
-    of each source's permuted slots. A piece is (shard, turn, pass, start, n): ``turn`` is the hashed
+    the source's slots; split_quotas deals the slots to 2**levels shards, of about SHARD_WORDS words if ``levels`` is
+    None, and each shard gets its own stretch of each source's permuted slots. A piece is (shard, turn, pass, start, n): ``turn`` is the hashed
     order within the shard, start and n are words of the document, from 0. shuffled() and mixed_documents() lay the mix out.
 
     Null texts have size 0; a null source is a source, last in the order; repeated rows are rows of
@@ -154,17 +177,19 @@ def mix(
     plan = plan.withColumn("last", F.col("rest") - F.col("drawn") * block)
     plan = plan.withColumn("slots", F.col("passes") * F.col("per_pass") + F.col("drawn") + F.when(F.col("last") > 0, 1).otherwise(0))
     plan = materialize(plan, "plan")
+    if levels is None:
+        total = plan.agg(F.sum("target")).first()[0] or 0
+        levels = min(MOST_LEVELS, max(2, math.ceil(math.log2(max(1, total / SHARD_WORDS)))))
     shards = split_quotas(plan.select("k", "source", F.col("slots").alias("n")), levels, seed)
     shards = shards.groupBy("source").agg(F.sort_array(F.collect_list(F.struct("shard", "first"))).alias("shards"))  # one entry a shard
-    plan = plan.join(shards.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_s"), "source_size", "target", "passes", "full", "per_pass", "drawn", "last", F.transform("shards", lambda x: x.first).alias("firsts"))
+    plan = plan.join(shards.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(F.col("source").alias("_s"), "source_size", "target", "passes", "full", "per_pass", "drawn", "last", _coprime(F.greatest("full", F.lit(1))).alias("step"), F.transform("shards", lambda x: x.first).alias("firsts"))
     rows = _laid_out(rows, seed).join(plan, F.col("source").eqNullSafe(F.col("_s")))
-    # 2**31 - 1 is prime, so it has no factor in common with a smaller number of blocks
-    step, shift = F.lit((1 << 31) - 1) % F.greatest("full", F.lit(1)), lambda p: F.pmod(F.xxhash64("source", p, F.lit(seed)), F.greatest("full", F.lit(1)))
+    shift = lambda p: F.pmod(F.xxhash64("source", p, F.lit(seed)), F.greatest("full", F.lit(1)))
     first, last = F.expr(f"at div {block}"), F.expr(f"(at + size - 1) div {block}")
-    rows = rows.select("*", step.alias("step"), F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), shift).alias("shifts"), F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")).alias("blocks"))
+    rows = rows.select("*", F.transform(F.sequence(F.lit(0).cast("long"), F.col("passes")), shift).alias("shifts"), F.when(F.col("size") > 0, F.sequence(first, last)).otherwise(F.array().cast("array<bigint>")).alias("blocks"))
 
     def piece(b: Column, p: Column) -> Column:
-        rank = F.when(b < F.col("full"), (b * F.col("step") + F.get("shifts", p.cast("int"))) % F.greatest("full", F.lit(1))).otherwise(F.col("full"))
+        rank = F.when(b < F.col("full"), (_times(b, F.col("step"), F.greatest("full", F.lit(1))) + F.get("shifts", p.cast("int"))) % F.greatest("full", F.lit(1))).otherwise(F.col("full"))
         size = F.when(p < F.col("passes"), block).when(rank < F.least("drawn", "full"), block).when(rank == F.col("drawn"), F.col("last")).otherwise(0)
 
         def made(x: Column) -> Column:
@@ -195,24 +220,26 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Whole documents keep their text; of others the stretches taken are joined by line feeds. n_chars
     follows the text. Documents without words, which can't add any, go. Rows are laid out by shard and
-    turn: a row has those of its piece with the least turn, so a random one of its pieces decides.
+    turn: a row has those of its piece with the least turn, so a random one of its pieces decides. Null texts have
+    no words, so they go; equal rows are rows of their own, of which the same number comes out at every run.
     """
     taken = mix(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("size").alias("_size"), F.col("pieces").alias("_pieces")).where("size(_pieces) > 0")
     same = Window.partitionBy("_d", "_h").orderBy(F.lit(0))
     taken = taken.withColumn("_copy", F.row_number().over(same))
-    rows = docs.withColumns({"_di": F.col(id_col).cast("long"), "_hi": F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))})
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_di"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_hi"))
     rows = rows.withColumn("_copy_i", F.row_number().over(Window.partitionBy("_di", "_hi").orderBy(F.lit(0))))
     rows = rows.join(taken, F.expr("_di <=> _d and _hi = _h and _copy_i = _copy"))
     passes = F.array_distinct(F.transform("_pieces", lambda x: x["pass"]))
     rows = rows.withColumn("_pass", F.explode(passes)).withColumn("_own", F.filter("_pieces", lambda x: x["pass"] == F.col("_pass"))).drop("_pieces")
     rows = rows.withColumn("_place", F.array_min(F.transform("_own", lambda x: F.struct(x.turn.alias("turn"), x.shard.alias("shard")))))
     mine = F.sort_array(F.transform("_own", lambda x: F.struct(x.start.alias("start"), x.n.alias("n"))))
-    rows = rows.withColumn("_mine", mine).withColumn("_words", F.when(F.aggregate("_mine", F.lit(0).cast("long"), lambda a, x: a + x.n) < F.col("_size"), F.regexp_extract_all(text_col, F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))))
+    rows = rows.withColumn("_mine", mine).withColumn("_words", F.when(F.aggregate("_mine", F.lit(0).cast("long"), lambda a, x: a + x.n) < F.col("_size"), F.regexp_extract_all("_text", F.lit(r"[\x20\x09-\x0D]*" + WORD), F.lit(0))))
     follows = lambda x, i: (i > 0) & (F.get("_mine", i - 1).start + F.get("_mine", i - 1).n == x.start)
     stretch = lambda x, i: F.concat(F.when(follows(x, i), F.lit("")).when(i > 0, F.lit("\n")).otherwise(F.lit("")), F.when(follows(x, i), F.array_join(F.slice("_words", x.start + 1, x.n), "")).otherwise(F.ltrim(F.array_join(F.slice("_words", x.start + 1, x.n), ""), F.lit(" \t\n\x0b\x0c\r"))))
-    text = F.when(F.col("_words").isNull(), F.col(text_col)).otherwise(F.array_join(F.transform("_mine", stretch), ""))
-    rows = rows.withColumn(text_col, text)
+    text = F.when(F.col("_words").isNull(), F.col("_text")).otherwise(F.array_join(F.transform("_mine", stretch), ""))
+    rows = rows.withColumn("_text", text)
     if chars_col in docs.columns:
-        rows = rows.withColumn(chars_col, F.length(text_col).cast(docs.schema[chars_col].dataType))
-    rows = rows.select(*docs.columns, F.col("_place.shard").alias("_shard"), F.col("_place.turn").alias("_turn"), "_pass")
-    return lay_out(rows, "_shard", "_turn", id_col, "_pass").select(*docs.columns)
+        rows = rows.withColumn("_row", F.col("_row").withField(f"`{chars_col}`", F.length("_text").cast(docs.schema[chars_col].dataType)))
+    rows = rows.withColumn("_row", F.col("_row").withField(f"`{text_col}`", F.col("_text")))
+    rows = rows.select("_row", F.col("_place.shard").alias("_shard"), F.col("_place.turn").alias("_turn"), "_di", "_pass")
+    return lay_out(rows, "_shard", "_turn", "_di", "_pass").select("_row.*")
