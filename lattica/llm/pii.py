@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 
 from lattica.llm.common import materialize, ship
 
-#: Entities with a surrogate other than their first up to which all workers get them at once; beyond, each document gets its own by a join.
-SENT_UP_TO = 100_000
-#: Draws for an entity. The first eight also avoid values that occur in the texts.
-DRAWS, AVOIDING = 64, 8
+#: Draws for an entity, after which a value space counts as used up.
+DRAWS = 64
 
 # First names by script and gender, and the titles that go before names.
 FIRST_NAMES = {
@@ -33,11 +31,11 @@ TITLES = {
     "Господин": "m", "Госпожа": "f",
 }
 _GENDER = {name: (script, gender) for (script, gender), names in FIRST_NAMES.items() for name in names}
-_SYLLABLES = {
-    "latin": "bar ben cor dal den fal gar hol kin lan mar mor nel par ral sel tan tor ver wil".split(),
-    "cyrillic": "бар вел гор дан зар кол лар мир нов пар рож сел тар фед".split(),
-    "greek": "αλε βασ γαλ δημ ζαρ καρ λαμ μαν νικ παπ σαρ ταν".split(),
-}
+#: Made-up names: syllables of a first letter, a vowel and a last letter, by script.
+_LETTERS = {"latin": ("bcdfghklmnprstvw", "aeiou", "lnrst"), "cyrillic": ("бвгдзклмнпрстф", "аеиоу", "лнрст"), "greek": ("βγδζθκλμνπρσ", "αειου", "λνρ")}
+_SYLLABLES = {script: [a + b + c for a in x for b in y for c in z] for script, (x, y, z) in _LETTERS.items()}
+#: Endings of made-up given names by script and gender.
+_ENDINGS = {("latin", "f"): "a", ("latin", "m"): "o", ("cyrillic", "f"): "а", ("cyrillic", "m"): "", ("greek", "f"): "α", ("greek", "m"): "ος"}
 
 _NAME = r"[^\W\d_a-zа-яα-ωß-öø-ÿά-ώ][^\W\d_A-ZА-ЯΑ-Ω]+"
 _PATTERNS = [
@@ -48,14 +46,28 @@ _PATTERNS = [
     ("ssn", re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")),
     ("card", re.compile(r"(?<![0-9.,-])(?:(?:[0-9]{4}[ -]){3}[0-9]{1,7}|[0-9]{4}[ -][0-9]{6}[ -][0-9]{5}|[0-9]{13,19})(?![0-9])")),
     ("ip", re.compile(r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])")),
-    ("phone", re.compile(r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9A-Za-z])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")),
+    ("ip6", re.compile(r"(?<![0-9A-Za-z:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[0-9A-Fa-f]{1,4}:){1,6}(?::[0-9A-Fa-f]{1,4}){1,6})(?![0-9A-Za-z:]|\.[0-9])")),
+    ("phone", re.compile(r"(?<![0-9A-Za-z.,-])0[0-9]{2,4}[ -][0-9]{3,4}[ -][0-9]{3,4}(?![0-9])|(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)(?:\([0-9]{1,4}\)[ .-]?)?[0-9]{2,4}(?:[ .-]?[0-9]{2,4}){1,4}(?![0-9])|(?<![0-9A-Za-z])(?:\([0-9]{3}\) ?|[0-9]{3}[.-])[0-9]{3}[ .-][0-9]{4}(?![0-9])")),
 ]
 _WORTH = re.compile(r"[0-9@]")
 _LONG_KEY = re.compile(r"(?i)api[_-]?key|token|secret|passw|BEGIN PRIVATE|[A-F]{32}|[A-Fa-f0-9]{32}")
 _TITLED = re.compile(r"\b(" + "|".join(TITLES) + rf")(\.? )({_NAME}(?:-{_NAME})?)(?:( )({_NAME}(?:-{_NAME})?))?")
+_CUE = re.compile(r"\b(?:[Mm]y name is|[Ii]ch hei(?:ß|ss)e|[Mm]ein Name ist|[Mm]e llamo|[Mm]i nombre es|[Jj]e m'appelle|[Mm]on nom est|[Nn]ame:|[Nn]ombre:|[Nn]om:|[Aa]uthor:|[Ss]igned:|[Cc]ontact:|[Мм]еня зовут) " + rf"({_NAME}(?:-{_NAME})?)(?: ({_NAME}(?:-{_NAME})?))?")
 _NAMED = re.compile(r"\b(" + "|".join(_GENDER) + rf")( )({_NAME}(?:-{_NAME})?)")
 
 
+#: The least and the most digits of an entity.
+_DIGITS = {"card": (13, 19), "phone": (7, 15)}
+
+
+def _is_ip6(value: str) -> bool:
+    try:
+        ipaddress.IPv6Address(value)
+    except ValueError:
+        return False
+    return True
+
+
 def script_of(name: str) -> str:
     c = name[0]
     return "cyrillic" if "Ѐ" <= c <= "ӿ" else "greek" if "Ͱ" <= c <= "Ͽ" else "latin"
@@ -66,12 +78,14 @@ def _canonical(kind: str, value: str) -> str:
         return value.lower()
     if kind in ("card", "phone"):
         return re.sub(r"[^0-9+]", "", value)
+    if kind == "ip6":
+        return ipaddress.IPv6Address(value).exploded
     return value.replace(" ", "") if kind == "iban" else value
 
 
 def _surname_key(name: str, gender: str) -> str:
     """A woman's and a man's form of a Slavic surname are one family name."""
-    if script_of(name) == "cyrillic" and gender == "f" and name.endswith("ва"):
+    if gender == "f" and name.endswith(("ова", "ева", "ova", "eva")):
         return name[:-1]
     return name
 
@@ -85,7 +99,9 @@ def find_entities(text: str) -> list[tuple[int, int, str, str, str]]:
                 continue
             for m in pattern.finditer(text):
                 start, stop = m.span(m.lastindex or 0)
-                if kind == "card" and not 13 <= sum(c.isdigit() for c in text[start:stop]) <= 19:
+                if kind in _DIGITS and not _DIGITS[kind][0] <= sum(c.isdigit() for c in text[start:stop]) <= _DIGITS[kind][1]:
+                    continue
+                if kind == "ip6" and not _is_ip6(text[start:stop]):
                     continue
                 if kind == "secret" and not re.search(r"[0-9]", text[start:stop]):
                     continue
@@ -97,6 +113,11 @@ def find_entities(text: str) -> list[tuple[int, int, str, str, str]]:
             found += [(*m.span(3), "first" if first in _GENDER else f"given-{gender}", first, gender), (*m.span(5), "surname", last, gender)]
         else:
             found.append((*m.span(3), "first" if first in _GENDER else "surname", first, gender))
+    for m in _CUE.finditer(text):
+        gender = _GENDER.get(m[1], ("", ""))[1]
+        found.append((*m.span(1), "first" if m[1] in _GENDER else f"given-{gender}", m[1], gender))
+        if m[2]:
+            found.append((*m.span(2), "surname", m[2], gender))
     found += [x for m in _NAMED.finditer(text) for x in ((*m.span(1), "first", m[1], _GENDER[m[1]][1]), (*m.span(3), "surname", m[3], _GENDER[m[1]][1]))]
     if surnames := {x[3]: x[4] for x in found if x[2] == "surname"}:  # the same name alone, elsewhere in the text
         alone = re.compile(r"\b(?:" + "|".join(map(re.escape, sorted(surnames, key=len, reverse=True))) + r")\b")
@@ -162,8 +183,10 @@ class Surrogates:
                 new = ipaddress.ip_address(int(net.network_address) + x % net.num_addresses)
                 if next(n for n in nets if new in n) == net and not (new.is_multicast or new.is_reserved or new.is_unspecified):
                     return str(new)
+        if kind == "ip6":  # groups of zeros stay, so a shortened form stays one; others keep their length
+            return ":".join(g if not int(g, 16) else self._group(g, source) for g in canonical.split(":"))
         if kind == "phone":
-            code = canonical[:2] if canonical.startswith("+1") else canonical[:3] if canonical.startswith("+") else ""
+            code = canonical[:2] if canonical.startswith("+1") else canonical[:3] if canonical.startswith("+") else canonical[:1] if canonical.startswith("0") else ""
             rest = self._shape(canonical[len(code) :], source)
             return code + (rest if rest[:1] != "0" else str(1 + next(source) % 9) + rest[1:])
         if kind == "first":
@@ -172,13 +195,20 @@ class Surrogates:
             return order[(order.index(canonical) + 1) % len(order)]  # a cycle: no name is its own surrogate, no two share one
         script = script_of(canonical)
         if kind.startswith("given"):
-            names = [n for g in kind[6:] or "fm" for n in FIRST_NAMES[script, g] if n != canonical]
-            return "-".join(names[(next(source) << 8 | next(source)) % len(names)] for _ in range(2 + draw // 4))
-        syllables = _SYLLABLES[script]
-        stem = "".join(syllables[next(source) % len(syllables)] for _ in range(3 + draw // 4))
+            return (self._made_up(script, 2 + draw // 4, source) + _ENDINGS[script, kind[6:] or "fm"[next(source) % 2]]).capitalize()
+        stem = self._made_up(script, 2 + draw // 4, source)
         if script == "cyrillic":
             return (stem + ("ов" if canonical.endswith(("ов", "ев", "ин")) else "енко")).capitalize()
-        return stem.capitalize()
+        return (stem + ("ov" if canonical.endswith(("ov", "ev")) else "")).capitalize()
+
+    def _made_up(self, script: str, n: int, source: Iterator[int]) -> str:
+        syllables = _SYLLABLES[script]
+        return "".join(syllables[(next(source) << 8 | next(source)) % len(syllables)] for _ in range(n))
+
+    def _group(self, group: str, source: Iterator[int]) -> str:
+        size = len(group.lstrip("0"))
+        low = 16 ** (size - 1)
+        return f"{low + (next(source) << 8 | next(source)) % (15 * low):04x}"
 
     def shown(self, kind: str, value: str, gender: str, surrogate: str) -> str:
         """The surrogate as it stands in the text: with the separators of the value, and the form for a gender."""
@@ -187,8 +217,11 @@ class Surrogates:
             return "".join(next(source) if c.isalnum() or c == "+" else c for c in value)
         if kind == "email" and value.upper() == value and value.lower() != value:
             return surrogate.upper()
-        if kind == "surname" and gender == "f" and value.endswith("ва") and surrogate.endswith("ов"):
-            return surrogate + "а"
+        if kind == "ip6":
+            short = surrogate if len(value) == 39 else ipaddress.IPv6Address(surrogate).compressed if "::" in value else ":".join(f"{int(g, 16):x}" for g in surrogate.split(":"))
+            return short.upper() if value.upper() == value and value.lower() != value else short
+        if kind == "surname" and gender == "f" and value.endswith(("ова", "ева", "ova", "eva")) and surrogate.endswith(("ов", "ov")):
+            return surrogate + ("а" if surrogate.endswith("ов") else "a")
         return surrogate
 
 
@@ -204,24 +237,6 @@ def _keyed(kind: str, value: str, gender: str) -> str:
     return _surname_key(value, gender) if kind == "surname" else _canonical(kind, value)
 
 
-def entity_table(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, text_hash, kind, canonical): the distinct entities of each row."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
-            for doc_id, text_hash, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
-                t = text.as_py()
-                out += [(doc_id, text_hash, *x) for x in {(kind, _keyed(kind, value, extra)) for _, _, kind, value, extra in find_entities(t)}] if t else []
-            columns = list(zip(*out)) if out else [[], [], [], []]
-            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.string()), pa.array(columns[3], pa.string())], ["doc_id", "text_hash", "kind", "canonical"])
-
-    ship(docs.sparkSession)
-    text = F.col(text_col).cast("string")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_hash long, kind string, canonical string")
-
-
 def surrogate_table(entities: DataFrame, key: bytes) -> DataFrame:
     """(kind, canonical, draw, surrogate) for the distinct entities, surrogates distinct within a kind.
 
@@ -243,7 +258,7 @@ def surrogate_table(entities: DataFrame, key: bytes) -> DataFrame:
     for turn in range(1, DRAWS):
         order = Window.partitionBy("kind", "surrogate").orderBy("draw", "canonical")
         ranked = known.withColumn("again", F.when(F.col("kind") == "first", False).otherwise(F.row_number().over(order) > 1))
-        ranked = ranked.join(originals, ["kind", "surrogate"], "left") if turn <= AVOIDING else ranked.withColumn("taken", F.lit(False))
+        ranked = ranked.join(originals, ["kind", "surrogate"], "left")
         again = F.col("again") | F.coalesce("taken", F.lit(False)) | ((F.col("canonical") == F.col("surrogate")) & (F.col("kind") != "first"))
         ranked = materialize(ranked.select("kind", "canonical", "draw", "surrogate", again.alias("again")), "ranked")
         clashing = ranked.where("again")
@@ -254,52 +269,76 @@ def surrogate_table(entities: DataFrame, key: bytes) -> DataFrame:
     raise ValueError(f"no distinct surrogates after {DRAWS} draws")
 
 
-def replace_entities(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
-    """The columns of ``docs`` with entities replaced in the text, and their number in ``count_col``.
+def replaced(text: str, entities: list, surrogates: Surrogates, moved: dict[tuple[str, str], str]) -> str:
+    """``text`` with its entities' surrogates: of ``moved`` those that had to be drawn again, of others the first draw."""
+    parts, end = [], 0
+    for start, stop, kind, value, extra in entities:
+        canonical = _keyed(kind, value, extra)
+        surrogate = moved.get((kind, canonical)) or surrogates.value(kind, canonical, 0)
+        parts += [text[end:start], surrogates.shown(kind, value, extra, surrogate)]
+        end = stop
+    return "".join(parts) + text[end:]
 
-    The same entity has the same surrogate in all texts, different ones have different ones; texts
-    without entities, and all other text, stay as they are, null texts null. Surrogates are functions
-    of the key and the entity; only those that had to be drawn again are looked up: all workers get
-    them if they are few, else each document gets its own by a join. Repeated rows and rows
-    of one doc_id are each replaced; an empty table gives no rows.
-    """
-    found = materialize(entity_table(docs, id_col, text_col), "entities")
-    moved = materialize(surrogate_table(found, key).where("draw > 0"), "moved")
-    few = moved.count() <= SENT_UP_TO
-    sent = {(r.kind, r.canonical): r.surrogate for r in moved.collect()} if few else {}
-    surrogates, schema = Surrogates(key), docs.schema
-    position = docs.columns.index(text_col)
-    rows = docs
-    if not few:
-        own = found.join(moved, ["kind", "canonical"]).groupBy("doc_id", "text_hash").agg(F.map_from_entries(F.collect_set(F.struct(F.concat_ws("\0", "kind", "canonical"), "surrogate"))).alias("_moved"))
-        own = own.withColumnsRenamed({"doc_id": "_d", "text_hash": "_h"})
-        hashed = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
-        rows = docs.join(own, F.col(id_col).cast("long").eqNullSafe(F.col("_d")) & (hashed == F.col("_h")), "left").drop("_d", "_h")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+_FOUND = "array<struct<kind:string,canonical:string>>"
+
+
+def searched_texts(docs: DataFrame, surrogates: Surrogates, text_col: str = "text") -> DataFrame:
+    """(row, new, n, found) for each row: its columns, the text replaced by first draws (null without entities), the number of entities, and the distinct ones."""
+    pairs = pa.list_(pa.struct([("kind", pa.string()), ("canonical", pa.string())]))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, counts = [], []
-            own = batch.column(batch.num_columns - 1) if not few else None
-            for k, x in enumerate(batch.column(position)):
+            new, counts, found = [], [], []
+            for x in batch.column(1):
                 text = x.as_py()
                 entities = find_entities(text) if text else []
-                if entities:
-                    mine = dict(own[k].as_py() or []) if own is not None else {}
-                    parts, end = [], 0
-                    for start, stop, kind, value, extra in entities:
-                        canonical = _keyed(kind, value, extra)
-                        surrogate = sent.get((kind, canonical)) or mine.get(f"{kind}\0{canonical}") or surrogates.value(kind, canonical, 0)
-                        parts += [text[end:start], surrogates.shown(kind, value, extra, surrogate)]
-                        end = stop
-                    text = "".join(parts) + text[end:]
-                texts.append(text)
+                new.append(replaced(text, entities, surrogates, {}) if entities else None)
                 counts.append(len(entities))
-            columns = batch.columns[: len(schema)]
-            columns[position] = pa.array(texts, columns[position].type)
-            names = schema.names
-            if count_col:
-                columns, names = [*columns, pa.array(counts, pa.int64())], [*names, count_col]
-            yield pa.RecordBatch.from_arrays(columns, names)
+                found.append([{"kind": k, "canonical": c} for k, c in sorted({(kind, _keyed(kind, value, extra)) for _, _, kind, value, extra in entities})])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), pa.array(counts, pa.int64()), pa.array(found, pairs)], ["row", "new", "n", "found"])
 
     ship(docs.sparkSession)
-    return rows.mapInArrow(run, docs.withColumn(count_col, F.lit(0).cast("long")).schema if count_col else schema)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
+    schema = rows.select("row", F.lit(None).cast("string").alias("new"), F.lit(0).cast("long").alias("n"), F.array().cast(_FOUND).alias("found")).schema
+    return rows.mapInArrow(search, schema)
+
+
+def entity_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(kind, canonical): the distinct entities of each row; nothing for null and empty texts."""
+    return searched_texts(docs, Surrogates(b""), text_col).select(F.explode("found").alias("e")).select("e.*")
+
+
+def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text", count_col: str | None = "n_entities") -> DataFrame:
+    """The columns of ``docs`` with entities replaced in the text, and their number in ``count_col``, which replaces a column of that name.
+
+    The same entity has the same surrogate in all texts, different ones have different ones; texts
+    without entities, and all other text, stay as they are, null and empty texts too. First draws are functions of
+    the key and the entity; later ones, where two entities or a value of the texts clash, depend on what else is there.
+    Texts are searched once and replaced by first draws at once; only texts with an entity that had to be drawn
+    again are searched a second time, with their own redrawn surrogates joined to them. Repeated rows and rows
+    of one doc_id are each replaced; an empty table gives no rows.
+    """
+    columns = [c for c in docs.columns if c.lower() != (count_col or "").lower()]
+    docs = docs.select(*columns)
+    surrogates = Surrogates(key)
+    searched = materialize(searched_texts(docs, surrogates, text_col).withColumn("k", F.monotonically_increasing_id()), "searched")
+    every = searched.where("n > 0").select("k", F.explode("found").alias("e")).select("k", "e.kind", "e.canonical")
+    moved = materialize(surrogate_table(every, key).where("draw > 0"), "moved")
+    done = searched.select("row", "new", "n")
+    if not moved.isEmpty():
+        own = every.join(moved, ["kind", "canonical"]).groupBy("k").agg(F.collect_set(F.struct("kind", "canonical", "surrogate")).alias("own"))
+
+        def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                new = []
+                for x, first, mine in zip(batch.column(3), batch.column(1), batch.column(4)):
+                    text, mine = x.as_py(), mine.as_py()
+                    new.append(replaced(text, find_entities(text), surrogates, {(e["kind"], e["canonical"]): e["surrogate"] for e in mine}) if mine else first.as_py())
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), batch.column(2)], ["row", "new", "n"])
+
+        some = searched.where("n > 0").join(own, "k", "left").select("row", "new", "n", F.col("row").getField(text_col).cast("string").alias("text"), "own")
+        done = searched.where("n = 0").select("row", "new", "n").unionByName(some.mapInArrow(again, done.schema))
+    text = F.coalesce("new", F.col("row").getField(text_col))
+    out = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns]
+    return done.select(*out, *([F.col("n").alias(count_col)] if count_col else []))

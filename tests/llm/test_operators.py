@@ -433,11 +433,16 @@ def test_surrogates(spark, docs, nothing):
     assert pii.replace_entities(nothing, b"key").isEmpty() and pii.replace_entities(docs, b"key").count() == docs.count()
 
 
-def test_surrogates_stay_distinct(spark, monkeypatch):
+def test_surrogates_stay_distinct(spark):
     values = [f"10.0.{i // 250}.{i % 250}" for i in range(500)]
     df = spark.createDataFrame([(i, f"from {v} on") for i, v in enumerate(values)], "doc_id long, text string")
     table = pii.surrogate_table(pii.entity_table(df), b"k").collect()
     assert len({r.surrogate for r in table}) == 500 and not {r.surrogate for r in table} & set(values)
-    few = {r.doc_id: r.text for r in pii.replace_entities(df, b"k").collect()}
-    monkeypatch.setattr(pii, "SENT_UP_TO", -1)  # the way by a join
-    assert {r.doc_id: r.text for r in pii.replace_entities(df, b"k").collect()} == few
+    values = [f"192.168.{i // 250}.{i % 250}" for i in range(2000)]  # a small space: some have to be drawn again
+    df = spark.createDataFrame([(i, f"from {v} on") for i, v in enumerate(values)], "doc_id long, text string")
+    table = pii.surrogate_table(pii.entity_table(df), b"k").collect()
+    assert len({r.surrogate for r in table}) == 2000 and not {r.surrogate for r in table} & set(values)
+    known, surrogates = {(r.kind, r.canonical): r.surrogate for r in table}, pii.Surrogates(b"k")
+    assert any(r.draw > 0 for r in table)
+    want = {r.doc_id: pii.replaced(r.text, pii.find_entities(r.text), surrogates, known) for r in df.collect()}
+    assert {r.doc_id: r.text for r in pii.replace_entities(df, b"k").collect()} == want
