@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.llm.common import materialize
+from lattica.llm.common import materialize, unused
 from lattica.llm.language import identify, learn_profiles
 from lattica.llm.mixing import mixed_documents
 from lattica.llm.packing import pack_documents
@@ -21,8 +21,9 @@ LEAST_LIKE = 0.05
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops texts that are null, have no letter, or resemble no language of the corpus."""
-    found = identify(docs, learn_profiles(docs), docs.columns)
-    return found.where(f"lang_pred != 'und' and score >= {LEAST_LIKE}").select(*docs.columns)
+    lang, score = unused(docs.columns, "lang_pred"), unused(docs.columns, "score")
+    found = identify(docs, learn_profiles(docs), docs.columns, names=(lang, score))
+    return found.where((F.col(lang) != "und") & (F.col(score) >= LEAST_LIKE)).select(*docs.columns)
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
