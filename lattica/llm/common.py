@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import os
 import shutil
 import tempfile
 import uuid
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +21,9 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: One run of characters other than ASCII punctuation, capitals, controls and white space.
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Bytes of a batch that Python works on at once.
+BATCH_BYTES = 4_000_000
+
 _own_folder: list[str] = []
 
 
@@ -91,3 +97,31 @@ def unused(taken: Iterable[str], name: str) -> str:
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
+
+
+def tidy() -> None:
+    """Gives a Python worker's free memory back to the system: workers outlive their tasks and would hold it through stages without Python."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except OSError:  # another C library
+        pass
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], at_once: int = BATCH_BYTES) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` over batches of about ``at_once`` bytes or a row, with the worker tidied at its end."""
+
+    def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = max(1, int(batch.num_rows * at_once / max(at_once, batch.nbytes)))
+            for k in range(0, batch.num_rows, rows):
+                yield batch.slice(k, rows)
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(slices(batches))
+        finally:
+            tidy()
+
+    return whole

@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import fresh_path, materialize, ship
-from lattica.llm.tokens import encoder
+from lattica.llm.common import fresh_path, materialize, ship, tidied
+from lattica.llm.tokens import AT_ONCE, encoder
 
 MAGIC = b"LATDAC01"
 _HEAD = struct.Struct("<8sIQQ")
@@ -158,7 +158,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 0,
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     rows = rows.withColumn("h", F.xxhash64("text"))
     ordered = rows.repartitionByRange("doc_id", "h").sortWithinPartitions("doc_id", "h", "text").select("doc_id", "text")
-    made = materialize(ordered.mapInArrow(run, "name string, part long, segment long, n_docs long, n_tokens long"), "manifest")
+    made = materialize(ordered.mapInArrow(tidied(run, 2 * AT_ONCE), "name string, part long, segment long, n_docs long, n_tokens long"), "manifest")
     earlier = Window.orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
     return made.withColumn("first_token", F.coalesce(F.sum("n_tokens").over(earlier), F.lit(0)))
 
@@ -185,7 +185,7 @@ def read_tokens(spark: SparkSession, folder: str, manifest: DataFrame) -> DataFr
         return spark.createDataFrame([], "doc_id long, start long, n_tokens long, ids_crc32 long")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.dac").load(folder)
     files = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    found = files.mapInArrow(run, "name string, doc_id long, at long, n_tokens long, ids_crc32 long")
+    found = files.mapInArrow(tidied(run), "name string, doc_id long, at long, n_tokens long, ids_crc32 long")
     return found.join(manifest.select("name", "first_token"), "name").select("doc_id", (F.col("first_token") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")
 
 

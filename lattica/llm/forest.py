@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import materialize, ship
+from lattica.llm.common import materialize, ship, tidied
 from lattica.llm.components import connected_components
 
 #: Bits of a leaf's number in a leaf code; the tree's number, from 1, is above them. Dense groups have the codes below.
@@ -206,7 +206,7 @@ def near_vectors(
             packed = [None if not ok else (np.array(v.as_py(), kind) + 0).tobytes() for v, ok in zip(batch.column(1), batch.column(2).to_pylist())]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, pa.binary())], ["vec_id", "v"])
 
-    rows = materialize(rows.select("vec_id", "v", usable.alias("ok")).mapInArrow(as_bytes, "vec_id long, v binary"), "vectors")
+    rows = materialize(rows.select("vec_id", "v", usable.alias("ok")).mapInArrow(tidied(as_bytes), "vec_id long, v binary"), "vectors")
     classes = rows.where("v is not null").groupBy("v").agg(F.count("*").alias("size"), F.min("vec_id").alias("least"))
     classes = materialize(classes.withColumn("c", F.monotonically_increasing_id()), "classes")
     n, dims = classes.agg(F.count("*"), F.max(F.length("v"))).first()
@@ -238,7 +238,7 @@ def near_vectors(
                 held = pa.array([code[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])], pa.binary())
                 yield pa.RecordBatch.from_arrays([*[some.column(i).take(pa.array(at)) for i in (0, 1, 2)], held.take(pa.array(at)), pa.array(code)], ["c", "v", "size", "codes", "code"])
 
-    dealt = materialize(classes.select("c", "v", "size").mapInArrow(deal, "c long, v binary, size long, codes binary, code long"), "leaves")
+    dealt = materialize(classes.select("c", "v", "size").mapInArrow(tidied(deal), "c long, v binary, size long, codes binary, code long"), "leaves")
     width = F.when(F.col("count") > MANY_BLOCKS * block, WIDER * block).otherwise(block)
     large = dealt.groupBy("code").count().where(F.col("count") > block).select("code", F.ceil(F.col("count") / width).cast("int").alias("blocks"))
     dealt = dealt.join(large, "code", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))

@@ -10,13 +10,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import ship
+from lattica.llm.common import ship, tidied
 
 SPACE = 32
 #: Letter vectors that a worker remembers, and distinct trigrams bound at once.
 LETTERS, AT_ONCE = 20_000, 4096
-#: Rows whose trigrams are summed together.
-SLICE = 500
+#: Bytes of texts whose trigrams are summed together.
+LEARNED_AT_ONCE = 2_000_000
 
 
 @cache
@@ -77,7 +77,7 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         space, sums = Space(size, seed), {}
-        for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
+        for batch in batches:
             found: dict[str, list] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 found.setdefault(lang, []).append(trigrams(text.as_py()))
@@ -90,7 +90,7 @@ def learn_profiles(docs: DataFrame, text_col: str = "text", lang_col: str = "lan
 
     ship(docs.sparkSession)
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")).where("lang is not null and text is not null")
-    summed = rows.mapInArrow(run, "lang string, profile array<double>").select("lang", F.posexplode("profile").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
+    summed = rows.mapInArrow(tidied(run, LEARNED_AT_ONCE), "lang string, profile array<double>").select("lang", F.posexplode("profile").alias("i", "x")).groupBy("lang", "i").agg(F.sum("x").alias("x"))
     profiles = summed.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("p")).select("lang", F.transform("p", lambda e: e.x).alias("p"))
     found = profiles.limit(most + 1).collect()
     if len(found) > most:
@@ -131,7 +131,7 @@ def identify(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str],
             yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
 
     ship(docs.sparkSession)
-    return picked.mapInArrow(run, schema)
+    return picked.mapInArrow(tidied(run), schema)
 
 
 def held_out(id_col: str = "doc_id"):

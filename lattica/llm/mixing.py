@@ -20,14 +20,14 @@ SLICES = 64
 
 
 def _log_factorial(x: Column) -> Column:
-    """ln x! by Stirling's series on x + 8, less the factors added: about 1e-13 exact, with no table."""
+    """ln x! by Stirling's series on x + 8, less the factors added: exact to about 3e-10, with no table."""
 
     def series(x: Column) -> Column:
         product = F.lit(1.0)
         for i in range(1, 9):
             product = product * (x + float(i))
         y = x + 8.0
-        return y * F.log(y) - y + 0.5 * F.log(2 * math.pi * y) + 1 / (12 * y) - 1 / (360 * y * y * y) - F.log(product)
+        return y * F.log(y) - y + 0.5 * F.log(2 * math.pi * y) + 1 / (12 * y) - 1 / (360 * y * y * y) + 1 / (1260 * y * y * y * y * y) - F.log(product)
 
     return let(x.cast("double"), series)
 

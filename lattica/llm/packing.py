@@ -10,8 +10,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import materialize, ship
-from lattica.llm.tokens import encoder
+from lattica.llm.common import materialize, ship, tidied
+from lattica.llm.tokens import AT_ONCE, encoder
 
 #: Partitions whose open windows one task merges.
 FAN = 16
@@ -120,7 +120,7 @@ def pack_documents(
 
     ship(docs.sparkSession)
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    pieces = materialize(picked.mapInArrow(run, _DDL), "pieces")
+    pieces = materialize(picked.mapInArrow(tidied(run, 2 * AT_ONCE), _DDL), "pieces")
     return merge_open(pieces, capacity).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", *["ids"] * with_ids)
 
 

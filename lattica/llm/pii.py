@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import materialize, ship
+from lattica.llm.common import materialize, ship, tidied
 
 #: Draws for an entity, after which a value space counts as used up.
 DRAWS = 64
@@ -253,7 +253,7 @@ def surrogate_table(entities: DataFrame, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["kind", "canonical", "draw", "surrogate"])
 
     ddl = "kind string, canonical string, draw int, surrogate string"
-    known = materialize(entities.select("kind", "canonical").distinct().withColumn("draw", F.lit(0)).mapInArrow(draw, ddl), "surrogates")
+    known = materialize(entities.select("kind", "canonical").distinct().withColumn("draw", F.lit(0)).mapInArrow(tidied(draw), ddl), "surrogates")
     originals = known.select("kind", F.col("canonical").alias("surrogate")).where("kind != 'first'").withColumn("taken", F.lit(True))
     for turn in range(1, DRAWS):
         order = Window.partitionBy("kind", "surrogate").orderBy("draw", "canonical")
@@ -264,7 +264,7 @@ def surrogate_table(entities: DataFrame, key: bytes) -> DataFrame:
         clashing = ranked.where("again")
         if clashing.isEmpty():
             return known
-        redrawn = clashing.select("kind", "canonical", F.lit(turn).alias("draw")).mapInArrow(draw, ddl)
+        redrawn = clashing.select("kind", "canonical", F.lit(turn).alias("draw")).mapInArrow(tidied(draw), ddl)
         known = materialize(ranked.where("not again").drop("again").unionByName(redrawn), "surrogates")
     raise ValueError(f"no distinct surrogates after {DRAWS} draws")
 
@@ -301,7 +301,7 @@ def searched_texts(docs: DataFrame, surrogates: Surrogates, text_col: str = "tex
     ship(docs.sparkSession)
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text_col).cast("string").alias("text"))
     schema = rows.select("row", F.lit(None).cast("string").alias("new"), F.lit(0).cast("long").alias("n"), F.array().cast(_FOUND).alias("found")).schema
-    return rows.mapInArrow(search, schema)
+    return rows.mapInArrow(tidied(search), schema)
 
 
 def entity_table(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -338,7 +338,7 @@ def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text", count_
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(new, pa.string()), batch.column(2)], ["row", "new", "n"])
 
         some = searched.where("n > 0").join(own, "k", "left").select("row", "new", "n", F.col("row").getField(text_col).cast("string").alias("text"), "own")
-        done = searched.where("n = 0").select("row", "new", "n").unionByName(some.mapInArrow(again, done.schema))
+        done = searched.where("n = 0").select("row", "new", "n").unionByName(some.mapInArrow(tidied(again), done.schema))
     text = F.coalesce("new", F.col("row").getField(text_col))
     out = [text.alias(c) if c == text_col else F.col("row").getField(c).alias(c) for c in columns]
     return done.select(*out, *([F.col("n").alias(count_col)] if count_col else []))

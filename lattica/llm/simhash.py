@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import materialize, ship
+from lattica.llm.common import materialize, ship, tidied
 from lattica.llm.components import connected_components
 
 SEED = 42
@@ -48,7 +48,7 @@ def with_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     ship(docs.sparkSession)
     text = F.col(text_col).cast("string")
     picked = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"))
-    return picked.mapInArrow(run, "doc_id long, text_hash long, fp long")
+    return picked.mapInArrow(tidied(run), "doc_id long, text_hash long, fp long")
 
 
 def byte_sets(size: int) -> list[tuple[int, ...]]:

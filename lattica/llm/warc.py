@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.llm.common import ship
+from lattica.llm.common import ship, tidied
 
 CRLF = "\r\n"
 _SPACE = uuid.UUID("6f3c1f0e-6f0f-5c1e-9d2a-0d5f6a1b7c11")
@@ -188,7 +188,7 @@ def derive_pages(pages: DataFrame, date: str = "2025-01-01T00:00:00Z", id_col: s
                 yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
 
     ship(pages.sparkSession)
-    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(run, _DDL)
+    return pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html")).mapInArrow(tidied(run), _DDL)
 
 
 def derive_files(files: DataFrame, date: str = "2025-01-01T00:00:00Z") -> DataFrame:
@@ -207,4 +207,4 @@ def derive_files(files: DataFrame, date: str = "2025-01-01T00:00:00Z") -> DataFr
                 yield pa.RecordBatch.from_pylist(out, schema=_SCHEMA)
 
     ship(files.sparkSession)
-    return files.select("content").mapInArrow(run, _DDL)
+    return files.select("content").mapInArrow(tidied(run), _DDL)
