@@ -223,12 +223,16 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     turn: a row has those of its piece with the least turn, so a random one of its pieces decides. Null texts have
     no words, so they go; equal rows are rows of their own, of which the same number comes out at every run.
     """
-    taken = mix(docs, id_col=id_col, text_col=text_col, **options).select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("size").alias("_size"), F.col("pieces").alias("_pieces")).where("size(_pieces) > 0")
-    same = Window.partitionBy("_d", "_h").orderBy(F.lit(0))
-    taken = taken.withColumn("_copy", F.row_number().over(same))
-    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col(text_col).cast("string").alias("_text"), F.col(id_col).cast("long").alias("_di"), F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))).alias("_hi"))
-    rows = rows.withColumn("_copy_i", F.row_number().over(Window.partitionBy("_di", "_hi").orderBy(F.lit(0))))
-    rows = rows.join(taken, F.expr("_di <=> _d and _hi = _h and _copy_i = _copy"))
+    taken = mix(docs, id_col=id_col, text_col=text_col, **options)
+    taken = materialize(taken.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("size").alias("_size"), F.col("pieces").alias("_pieces")), "taken")
+    others, text = [c for c in docs.columns if c != text_col], F.col(text_col).cast("string")
+    rows = docs.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in others]).alias("_row"), text.alias("_text"), F.col(id_col).cast("long").alias("_di"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hi"))
+    match = "_di <=> _d and _hi = _h"
+    if not taken.groupBy("_d", "_h").count().where("count > 1").isEmpty():  # equal rows are numbered on both sides; else the texts needn't move for it
+        taken = taken.withColumn("_copy", F.row_number().over(Window.partitionBy("_d", "_h").orderBy(F.lit(0))))
+        rows = rows.withColumn("_copy_i", F.row_number().over(Window.partitionBy("_di", "_hi").orderBy(F.lit(0))))
+        match += " and _copy_i = _copy"
+    rows = rows.join(taken.where("size(_pieces) > 0"), F.expr(match))
     passes = F.array_distinct(F.transform("_pieces", lambda x: x["pass"]))
     rows = rows.withColumn("_pass", F.explode(passes)).withColumn("_own", F.filter("_pieces", lambda x: x["pass"] == F.col("_pass"))).drop("_pieces")
     rows = rows.withColumn("_place", F.array_min(F.transform("_own", lambda x: F.struct(x.turn.alias("turn"), x.shard.alias("shard")))))
@@ -237,9 +241,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     follows = lambda x, i: (i > 0) & (F.get("_mine", i - 1).start + F.get("_mine", i - 1).n == x.start)
     stretch = lambda x, i: F.concat(F.when(follows(x, i), F.lit("")).when(i > 0, F.lit("\n")).otherwise(F.lit("")), F.when(follows(x, i), F.array_join(F.slice("_words", x.start + 1, x.n), "")).otherwise(F.ltrim(F.array_join(F.slice("_words", x.start + 1, x.n), ""), F.lit(" \t\n\x0b\x0c\r"))))
     text = F.when(F.col("_words").isNull(), F.col("_text")).otherwise(F.array_join(F.transform("_mine", stretch), ""))
-    rows = rows.withColumn("_text", text)
-    if chars_col in docs.columns:
-        rows = rows.withColumn("_row", F.col("_row").withField(f"`{chars_col}`", F.length("_text").cast(docs.schema[chars_col].dataType)))
-    rows = rows.withColumn("_row", F.col("_row").withField(f"`{text_col}`", F.col("_text")))
-    rows = rows.select("_row", F.col("_place.shard").alias("_shard"), F.col("_place.turn").alias("_turn"), "_di", "_pass")
-    return lay_out(rows, "_shard", "_turn", "_di", "_pass").select("_row.*")
+    rows = rows.withColumn("_text", text).select("_row", "_text", F.col("_place.shard").alias("_shard"), F.col("_place.turn").alias("_turn"), "_di", "_pass")
+    rows = lay_out(rows, "_shard", "_turn", "_di", "_pass")
+    made = {text_col: F.col("_text")} | ({chars_col: F.length("_text").cast(docs.schema[chars_col].dataType)} if chars_col in docs.columns else {})
+    return rows.select(*[made.get(c, F.col("_row").getField(c)).alias(c) for c in docs.columns])
