@@ -344,3 +344,14 @@ for _name, _made in {
 }.items():
     register(_name)(lambda s, p, f=_made: f(s).edges.select("src", "dst"))
 register("configuration_model")(lambda s, p: random_graphs.configuration_model(store(copurchase(s, p).degrees()), 1).edges.select("src", "dst"))
+
+
+from lattica import catalogue_profiles  # noqa: E402, F401
+
+from lattica import catalogue_centrality  # noqa: E402, F401
+
+from lattica import catalogue_patterns  # noqa: E402, F401
+
+from lattica import catalogue_paths  # noqa: E402, F401
+
+from lattica import catalogue_communities  # noqa: E402, F401

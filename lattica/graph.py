@@ -66,6 +66,15 @@ class Graph:
     def spark(self) -> SparkSession:
         return self.vertices.sparkSession
 
+    def as_mode(self, mode: str = "out") -> Graph:
+        """The graph whose slots go along edges (out), against them (in) or both ways (all); an undirected graph is the same in every mode."""
+        if not self.directed or mode == "out":
+            return self
+        if mode == "in":
+            rest = [c for c in self.edges.columns if c not in ("src", "dst")]
+            return Graph(self.vertices, self.edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"), *rest), True)
+        return Graph.from_edges(self.edges, False, self.vertices)
+
     def with_edges(self, edges: DataFrame, directed: bool | None = None) -> Graph:
         return Graph.from_edges(edges, self.directed if directed is None else directed, self.vertices)
 

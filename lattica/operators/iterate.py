@@ -63,11 +63,11 @@ def strongly_connected_components(g: Graph) -> DataFrame:
         edges = edges.join(found.select(F.col("v").alias("src")), "src", "left_anti").join(found.select(F.col("v").alias("dst")), "dst", "left_anti")
 
 
-def pagerank(g: Graph, damping: float = 0.85, tolerance: float = 1e-10, rounds: int = 1000, reset: DataFrame | None = None) -> DataFrame:
-    """(v, rank): the power method from 1/n; a vertex without out-slots spreads evenly; ``reset`` (v, p) personalizes. Stops at an L1 change under ``tolerance`` or after ``rounds``."""
+def pagerank(g: Graph, damping: float = 0.85, tolerance: float = 1e-10, rounds: int = 1000, reset: DataFrame | None = None, weight: str | None = None) -> DataFrame:
+    """(v, rank): the power method from 1/n; a vertex without out-slots spreads evenly; ``reset`` (v, p) personalizes, ``weight`` divides a vertex's rank among its slots. Stops at an L1 change under ``tolerance`` or after ``rounds``."""
     n = g.vertices.count()
-    slots = g.slots.groupBy("v", "u").agg(F.count("*").alias("k"))
-    out = slots.groupBy("v").agg(F.sum("k").alias("d"))
+    slots = g.slots.groupBy("v", "u").agg((F.count("*") if weight is None else F.sum(real(weight))).alias("k"))
+    out = slots.groupBy("v").agg(F.sum("k").alias("d")).where("d > 0")
     steps = store(slots.join(out, "v").select("v", "u", (F.col("k") / F.col("d")).alias("share")))
     base = store(g.vertices.select("v").join(out, "v", "left").select("v", F.col("d").isNull().alias("dangling")))
     if reset is not None:
@@ -89,10 +89,11 @@ def pagerank(g: Graph, damping: float = 0.85, tolerance: float = 1e-10, rounds:
     return rank
 
 
-def power_step(g: Graph, state: DataFrame, transpose: bool = False) -> DataFrame:
-    """(v, x): sums of a state (v, x) over neighbour slots; over in-slots if ``transpose``."""
-    slots = g.slots.select(F.col("u").alias("v"), F.col("v").alias("u")) if transpose else g.slots
-    return slots.join(state.select(F.col("v").alias("u"), "x"), "u").groupBy("v").agg(F.sum("x").alias("x"))
+def power_step(g: Graph, state: DataFrame, transpose: bool = False, weight: str | None = None) -> DataFrame:
+    """(v, x): sums of a state (v, x) over neighbour slots, times their weight; over in-slots if ``transpose``."""
+    w = F.lit(1.0) if weight is None else real(weight)
+    slots = g.slots.select(F.col("u").alias("v"), F.col("v").alias("u"), w.alias("w")) if transpose else g.slots.select("v", "u", w.alias("w"))
+    return slots.join(state.select(F.col("v").alias("u"), "x"), "u").groupBy("v").agg(F.sum(F.col("x") * F.col("w")).alias("x"))
 
 
 def _filled(g: Graph, state: DataFrame) -> DataFrame:
@@ -111,24 +112,28 @@ def katz_centrality(g: Graph, alpha: float, beta: float = 1.0, tolerance: float
     raise ArithmeticError("Katz centrality did not converge: alpha must be under the reciprocal of the largest eigenvalue")
 
 
-def hub_and_authority_scores(g: Graph, rounds: int = 50) -> DataFrame:
-    """(v, hub, authority), each with the largest value 1, after ``rounds`` rounds."""
+def hub_and_authority_scores(g: Graph, rounds: int = 1000, weight: str | None = None, tolerance: float = 1e-10) -> DataFrame:
+    """(v, hub, authority), each with the largest value 1, until no hub changes by ``tolerance`` or after ``rounds`` rounds."""
     hub = g.vertices.select("v", F.lit(1.0).alias("x"))
     for _ in range(rounds):
-        authority = _filled(g, power_step(g, hub, True))
-        hub = _filled(g, power_step(g, authority))
-        top = hub.agg(F.max("x").alias("top"), F.lit(1).alias("one"))
-        hub = store(hub.withColumn("one", F.lit(1)).join(F.broadcast(top), "one").select("v", (F.col("x") / F.col("top")).alias("x")))  # one row
-    authority = store(_filled(g, power_step(g, hub, True)))
+        authority = _filled(g, power_step(g, hub, True, weight))
+        new = _filled(g, power_step(g, authority, False, weight))
+        top = new.agg(F.max("x").alias("top"), F.lit(1).alias("one"))
+        new = new.withColumn("one", F.lit(1)).join(F.broadcast(top), "one").select("v", (F.col("x") / F.col("top")).alias("x"))  # one row
+        new = store(new.join(hub.withColumnRenamed("x", "old"), "v"))
+        hub = new.select("v", "x")
+        if (new.agg(F.max(F.abs(F.col("x") - F.col("old")))).first()[0] or 0.0) < tolerance:
+            break
+    authority = store(_filled(g, power_step(g, hub, True, weight)))
     top = authority.agg(F.max("x")).first()[0]
     return hub.withColumnRenamed("x", "hub").join(authority.select("v", (F.col("x") / top).alias("authority")), "v")
 
 
-def eigenvector_centrality(g: Graph, tolerance: float = 1e-9, rounds: int = 5000) -> DataFrame:
+def eigenvector_centrality(g: Graph, tolerance: float = 1e-9, rounds: int = 5000, weight: str | None = None) -> DataFrame:
     """(v, x), the largest 1: the power method on A' + I, which also settles on bipartite graphs."""
     state = g.vertices.select("v", F.lit(1.0).alias("x"))
     for _ in range(rounds):
-        stepped = _filled(g, power_step(g, state, True)).join(state.withColumnRenamed("x", "old"), "v").select("v", "old", (F.col("x") + F.col("old")).alias("x"))
+        stepped = _filled(g, power_step(g, state, True, weight)).join(state.withColumnRenamed("x", "old"), "v").select("v", "old", (F.col("x") + F.col("old")).alias("x"))
         stepped = store(stepped)
         top = stepped.agg(F.max("x")).first()[0]
         state = stepped.select("v", "old", (F.col("x") / top).alias("x"))

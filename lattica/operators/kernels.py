@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lattica.graph import Graph
+from lattica.graph import Graph, store
 from lattica.operators.iterate import connected_components
 from lattica.shipping import ship
 
@@ -24,15 +24,16 @@ Adjacency = dict[int, set[int]]
 def per_component(g: Graph, kernel: Callable[[list[int], list[tuple[int, int, int]]], Iterator[tuple]], schema: str, most_edges: int = 200_000) -> DataFrame:
     """Rows of ``kernel(vertices, edges)``, edges being (eid, src, dst) in the order of eid, for each weak component."""
     ship(g.spark)
-    c = connected_components(g)
+    c = store(connected_components(g))
     rows = c.select("component", F.col("v").alias("a"), F.lit(None).cast("long").alias("b"), F.lit(None).cast("long").alias("eid"))
     rows = rows.unionByName(g.edges.join(c.withColumnRenamed("v", "src"), "src").select("component", F.col("src").alias("a"), F.col("dst").alias("b"), "eid"))
     names = [x.split()[0] for x in schema.split(", ")]
+    largest = rows.groupBy("component").agg(F.count("b").alias("m")).agg(F.max("m")).first()[0] or 0
+    if largest > most_edges:  # before anything is gathered
+        raise ValueError(f"a component has {largest} edges; this kernel takes {most_edges}")
 
     def run(part: pd.DataFrame) -> pd.DataFrame:
         e = part[part.b.notna()].sort_values("eid")
-        if len(e) > most_edges:
-            raise ValueError(f"a component has {len(e)} edges; this kernel takes {most_edges}")
         vertices = sorted(part[part.b.isna()].a.astype(int))
         return pd.DataFrame(list(kernel(vertices, list(zip(e.eid.astype(int), e.a.astype(int), e.b.astype(int))))), columns=names)
 
