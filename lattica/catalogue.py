@@ -355,3 +355,7 @@ from lattica import catalogue_patterns  # noqa: E402, F401
 from lattica import catalogue_paths  # noqa: E402, F401
 
 from lattica import catalogue_communities  # noqa: E402, F401
+
+from lattica import catalogue_places  # noqa: E402, F401
+
+from lattica import catalogue_classes  # noqa: E402, F401
