@@ -90,4 +90,17 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
-ORACLES: dict[str, str] = {}
+# All pairs in double precision, and components as the least of what walks over links reach. Other queries draw, hash, learn or tokenize, which SQL can't express.
+_VECTORS = """
+WITH RECURSIVE u AS MATERIALIZED (
+    SELECT CAST(vec_id AS BIGINT) AS vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+    WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0
+), l AS MATERIALIZED (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM u a JOIN u b ON a.vec_id <> b.vec_id AND len(a.x) = len(b.x) AND list_cosine_similarity(a.x, b.x) >= 0.95
+), w AS (SELECT a AS s, a AS t FROM l UNION SELECT w.s, l.b FROM w JOIN l ON l.a = w.t),
+c AS (SELECT s, min(t) AS least FROM w GROUP BY s)
+SELECT CAST(e.vec_id AS BIGINT) AS vec_id, (SELECT count(*) FROM l WHERE l.a = e.vec_id) AS n_links, coalesce(c.least, CAST(e.vec_id AS BIGINT)) AS component_id, coalesce(c.least, CAST(e.vec_id AS BIGINT)) = e.vec_id AS kept
+FROM embeddings e LEFT JOIN c ON c.s = e.vec_id
+"""
+
+ORACLES: dict[str, str] = {"op3_vector_forest": _VECTORS}
