@@ -21,6 +21,8 @@ WORD = r"[^\x20\x09-\x0D]+"
 #: One run of characters other than ASCII punctuation, capitals, controls and white space.
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
+#: Rows of a narrow table that one task writes.
+ROWS_A_FILE = 250_000
 #: Bytes of a batch that Python works on at once.
 BATCH_BYTES = 4_000_000
 
@@ -47,9 +49,15 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{scratch(spark)}/{tag}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors."""
+def materialize(df: DataFrame, tag: str, rows: int | None = None) -> DataFrame:
+    """Writes ``df`` to the shared folder and reads it back: cuts lineage, survives lost executors.
+
+    ``rows``, about how many there are of a narrow table, keeps a small one from becoming a file for each shuffle
+    partition: it is written by a task for each ROWS_A_FILE rows, or by all partitions if that is more.
+    """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(1 + rows // ROWS_A_FILE)
     path = fresh_path(spark, tag)
     df.write.parquet(path)
     back = spark.read.schema(df.schema).parquet(path)

@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 from lattica.llm.common import discard, materialize
 
 
-def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+def connected_components(links: DataFrame, a: str = "a", b: str = "b", rows: int | None = None) -> DataFrame:
     """(node, component) for every node of ``links`` that has a link to another; component is its least reachable node.
 
     Nulls and self-links are dropped, repeated and reversed links count once, no links give no
     rows. Every round replaces each node's links by links to the least neighbour, as joins on
     columns: a hub is a skewed join key, which adaptive execution splits, and its minimum is
     pre-aggregated. Rounds grow with the logarithm of the longest chain. Each round is a written
-    table, so a lost executor costs a round at most.
+    table, so a lost executor costs a round at most. ``rows``: about how many links there are, if known.
     """
     edges = materialize(
-        links.where((F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links"
+        links.where((F.col(a) != F.col(b))).select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).distinct(), "links", rows
     )
     before = None
     while True:
@@ -34,6 +34,6 @@ def connected_components(links: DataFrame, a: str = "a", b: str = "b") -> DataFr
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
-        after = materialize(small, "links")
+        after = materialize(small, "links", now[0])
         discard(edges)
         edges = after

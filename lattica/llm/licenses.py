@@ -129,7 +129,7 @@ def _spans(found: DataFrame, table: DataFrame, least: float) -> DataFrame:
     hits = rows.join(table, "gram").where(F.col("v") == F.col("w"))
     key = ["doc_id", "text_hash", "t", "m", "must", "label", "base"]
     diagonals = hits.groupBy(*key, (F.col("pos") - F.col("at")).cast("long").alias("diagonal")).agg(F.collect_set("at").alias("ats"))
-    diagonals = materialize(diagonals, "diagonals")  # two branches read it
+    diagonals = materialize(diagonals, "diagonals", found.count())  # two branches read it
     whole = F.size("ats") == F.col("m") - K + 1
     exact = diagonals.where(whole & F.col("base")).select("doc_id", "text_hash", "label", "base", F.col("diagonal").cast("int").alias("start"), (F.col("diagonal") + F.col("m")).cast("int").alias("stop"), F.lit(1.0).alias("score"))
     # a template of m words reaches over m // 4 + 2 diagonals; the frame of the longest template is cut to each one's own

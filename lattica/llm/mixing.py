@@ -176,7 +176,7 @@ def mix(
     plan = plan.withColumn("full", F.expr(f"source_size div {block}")).withColumn("per_pass", F.ceil(n / block)).withColumn("drawn", F.expr(f"rest div {block}"))
     plan = plan.withColumn("last", F.col("rest") - F.col("drawn") * block)
     plan = plan.withColumn("slots", F.col("passes") * F.col("per_pass") + F.col("drawn") + F.when(F.col("last") > 0, 1).otherwise(0))
-    plan = materialize(plan, "plan")
+    plan = materialize(plan, "plan", 0)  # a row for each source
     if levels is None:
         total = plan.agg(F.sum("target")).first()[0] or 0
         levels = min(MOST_LEVELS, max(2, math.ceil(math.log2(max(1, total / SHARD_WORDS)))))
@@ -224,7 +224,7 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     no words, so they go; equal rows are rows of their own, of which the same number comes out at every run.
     """
     taken = mix(docs, id_col=id_col, text_col=text_col, **options)
-    taken = materialize(taken.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("size").alias("_size"), F.col("pieces").alias("_pieces")), "taken")
+    taken = materialize(taken.select(F.col("doc_id").alias("_d"), F.col("text_hash").alias("_h"), F.col("size").alias("_size"), F.col("pieces").alias("_pieces")), "taken", docs.count())
     others, text = [c for c in docs.columns if c != text_col], F.col(text_col).cast("string")
     rows = docs.select(F.struct(F.lit(0), *[F.col(f"`{c}`") for c in others]).alias("_row"), text.alias("_text"), F.col(id_col).cast("long").alias("_di"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("_hi"))
     match = "_di <=> _d and _hi = _h"

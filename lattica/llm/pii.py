@@ -253,19 +253,20 @@ def surrogate_table(entities: DataFrame, key: bytes) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made, pa.string())], ["kind", "canonical", "draw", "surrogate"])
 
     ddl = "kind string, canonical string, draw int, surrogate string"
-    known = materialize(entities.select("kind", "canonical").distinct().withColumn("draw", F.lit(0)).mapInArrow(tidied(draw), ddl), "surrogates")
+    n = entities.count()
+    known = materialize(entities.select("kind", "canonical").distinct().withColumn("draw", F.lit(0)).mapInArrow(tidied(draw), ddl), "surrogates", n)
     originals = known.select("kind", F.col("canonical").alias("surrogate")).where("kind != 'first'").withColumn("taken", F.lit(True))
     for turn in range(1, DRAWS):
         order = Window.partitionBy("kind", "surrogate").orderBy("draw", "canonical")
         ranked = known.withColumn("again", F.when(F.col("kind") == "first", False).otherwise(F.row_number().over(order) > 1))
         ranked = ranked.join(originals, ["kind", "surrogate"], "left")
         again = F.col("again") | F.coalesce("taken", F.lit(False)) | ((F.col("canonical") == F.col("surrogate")) & (F.col("kind") != "first"))
-        ranked = materialize(ranked.select("kind", "canonical", "draw", "surrogate", again.alias("again")), "ranked")
+        ranked = materialize(ranked.select("kind", "canonical", "draw", "surrogate", again.alias("again")), "ranked", n)
         clashing = ranked.where("again")
         if clashing.isEmpty():
             return known
         redrawn = clashing.select("kind", "canonical", F.lit(turn).alias("draw")).mapInArrow(tidied(draw), ddl)
-        known = materialize(ranked.where("not again").drop("again").unionByName(redrawn), "surrogates")
+        known = materialize(ranked.where("not again").drop("again").unionByName(redrawn), "surrogates", n)
     raise ValueError(f"no distinct surrogates after {DRAWS} draws")
 
 
@@ -324,7 +325,7 @@ def replace_entities(docs: DataFrame, key: bytes, text_col: str = "text", count_
     surrogates = Surrogates(key)
     searched = materialize(searched_texts(docs, surrogates, text_col).withColumn("k", F.monotonically_increasing_id()), "searched")
     every = searched.where("n > 0").select("k", F.explode("found").alias("e")).select("k", "e.kind", "e.canonical")
-    moved = materialize(surrogate_table(every, key).where("draw > 0"), "moved")
+    moved = materialize(surrogate_table(every, key).where("draw > 0"), "moved", every.count())
     done = searched.select("row", "new", "n")
     if not moved.isEmpty():
         own = every.join(moved, ["kind", "canonical"]).groupBy("k").agg(F.collect_set(F.struct("kind", "canonical", "surrogate")).alias("own"))

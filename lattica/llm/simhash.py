@@ -92,20 +92,21 @@ def near_links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
     """
     if not 0 <= max_bits <= 4:
         raise ValueError("max_bits must be from 0 to 4: the count filter guarantees four shared bytes only then")
-    fps = materialize(prints.select("fp").where("fp is not null").distinct(), "fps")
+    fps = materialize(prints.select("fp").where("fp is not null").distinct(), "fps", prints.count())
+    n = fps.count()
     if max_bits == 4:
         halves = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.expr(f"fp & {_signed(~(0xF << 4 * i) & (1 << 64) - 1)}L").alias("k")) for i in range(16)]))
         groups = fps.select("fp", halves.alias("h")).groupBy("h.s", "h.k").agg(F.collect_set("fp").alias("x")).where("size(x) > 1")
-        sure = connected_components(groups.select(F.array_min("x").alias("a"), F.explode("x").alias("b")))
-        fps = materialize(fps.join(sure, fps.fp == sure.node, "left").select("fp", F.coalesce("component", "fp").alias("c")), "fps")
+        sure = connected_components(groups.select(F.array_min("x").alias("a"), F.explode("x").alias("b")), rows=n)
+        fps = materialize(fps.join(sure, fps.fp == sure.node, "left").select("fp", F.coalesce("component", "fp").alias("c")), "fps", n)
     else:
         fps = fps.withColumn("c", F.col("fp"))
-    sets = byte_sets(3 if fps.count() <= THREE_BYTES_UP_TO else 4)
+    sets = byte_sets(3 if n <= THREE_BYTES_UP_TO else 4)
     masks = [sum(0xFF << 8 * i for i in s) for s in sets]
     lists = F.explode(F.array(*[F.struct(F.lit(i).alias("s"), F.expr(f"fp & {_signed(m)}L").alias("k")) for i, m in enumerate(masks)]))
     index = fps.select("fp", "c", lists.alias("h")).select("fp", "c", "h.s", "h.k")
     mixed = index.groupBy("s", "k").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo != hi").select("s", "k")
-    index = materialize(index.join(mixed, ["s", "k"]), "postings")
+    index = materialize(index.join(mixed, ["s", "k"]), "postings", n * len(sets))
     main = index.groupBy("s", "k", "c").count().groupBy("s", "k").agg(F.max_by("c", F.struct("count", "c")).alias("main"))
     outside = index.join(main, ["s", "k"]).where("c != main")
     pairs = outside.alias("x").join(
@@ -115,7 +116,7 @@ def near_links(prints: DataFrame, max_bits: int = 4) -> DataFrame:
             f" and {_byte_matches('x.fp', 'y.fp')} >= 4 and bit_count(x.fp ^ y.fp) <= {max_bits}"
         ),
     )
-    joined = connected_components(pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")))
+    joined = connected_components(pairs.select(F.col("x.c").alias("a"), F.col("y.c").alias("b")), rows=n)
     return fps.join(joined, fps.c == joined.node, "left").select("fp", F.coalesce("component", "c").alias("component"))
 
 
@@ -131,7 +132,7 @@ def simhash_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     prints = materialize(with_fingerprints(docs, id_col, text_col, ngram), "prints")
     known = near_links(prints, max_bits)
     least = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    known = materialize(known.join(least, "fp"), "known")
+    known = materialize(known.join(least, "fp"), "known", prints.count())
     first = known.groupBy("component").agg(F.min("least").alias("component_id"))
     known = known.join(first, "component").select("fp", "component_id")
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
@@ -148,7 +149,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "text_hash")
     least = prints.groupBy("fp").agg(F.min(place).alias("head"))
     heads = near_links(prints, max_bits).join(least, "fp").groupBy("component").agg(F.min("head").alias("head")).select("head.doc_id", "head.text_hash")
-    heads = materialize(heads, "heads")
+    heads = materialize(heads, "heads", prints.count())
     text = F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("i"), text.alias("h"))
     kept = rows.join(heads, F.col("i").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("text_hash")), "left_semi")
