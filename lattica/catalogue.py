@@ -361,3 +361,5 @@ from lattica import catalogue_places  # noqa: E402, F401
 from lattica import catalogue_classes  # noqa: E402, F401
 
 from lattica import catalogue_access  # noqa: E402, F401
+
+from lattica import catalogue_flows  # noqa: E402, F401
