@@ -363,3 +363,5 @@ from lattica import catalogue_classes  # noqa: E402, F401
 from lattica import catalogue_access  # noqa: E402, F401
 
 from lattica import catalogue_flows  # noqa: E402, F401
+
+from lattica import catalogue_cycles  # noqa: E402, F401
