@@ -72,9 +72,9 @@ register("static_power_law_game", f"SELECT 50 + {_SN} AS vertices, 2 * {_SN} AS
 register("sample_negative_edges", f"WITH {PARTNERS}, n AS (SELECT count(*) AS n FROM vs) SELECT (SELECT n FROM n) AS vertices, 20::BIGINT AS edges, 0::BIGINT AS loops, 0::BIGINT AS copies, 0::BIGINT AS already")(lambda s, p: _negative(partners(s, p)))
 register("split_edges_connected", f"WITH {PARTNERS} SELECT (SELECT count(*) FROM vs) AS vertices, (SELECT count(*) FROM e) AS edges, 1::BIGINT AS components")(lambda s, p: _split(partners(s, p)))
 register("random_sample", "SELECT 500::BIGINT AS n, 500::BIGINT AS kinds, true AS within")(lambda s, p: samplers.random_sample(s, -300, 999, 500, 3).agg(F.count("*").alias("n"), F.count_distinct("x").alias("kinds"), F.expr("min(x) >= -300 and max(x) <= 999").alias("within")))
-_NORM = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x))
-register("sample_sphere_surface", "SELECT 300::BIGINT AS n, 3::INTEGER AS dims, 300::BIGINT AS on_it")(lambda s, p: samplers.sample_sphere_surface(s, 3, 300, 2.0, True, 1).agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dims"), F.count_if((F.abs(_NORM - 2) < 1e-9) & F.forall("x", lambda x: x >= 0)).alias("on_it")))
-register("sample_sphere_volume", "SELECT 300::BIGINT AS n, 300::BIGINT AS inside")(lambda s, p: samplers.sample_sphere_volume(s, 4, 300, 2.0, False, 1).agg(F.count("*").alias("n"), F.count_if(_NORM <= 2 + 1e-9).alias("inside")))
+_norm = lambda: F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, x: a + x * x))
+register("sample_sphere_surface", "SELECT 300::BIGINT AS n, 3::INTEGER AS dims, 300::BIGINT AS on_it")(lambda s, p: samplers.sample_sphere_surface(s, 3, 300, 2.0, True, 1).agg(F.count("*").alias("n"), F.max(F.size("x")).alias("dims"), F.count_if((F.abs(_norm() - 2) < 1e-9) & F.forall("x", lambda x: x >= 0)).alias("on_it")))
+register("sample_sphere_volume", "SELECT 300::BIGINT AS n, 300::BIGINT AS inside")(lambda s, p: samplers.sample_sphere_volume(s, 4, 300, 2.0, False, 1).agg(F.count("*").alias("n"), F.count_if(_norm() <= 2 + 1e-9).alias("inside")))
 register("sample_dirichlet", "SELECT 300::BIGINT AS n, 300::BIGINT AS sound")(lambda s, p: samplers.sample_dirichlet(s, [0.5, 1.0, 3.0], 300, 1).agg(F.count("*").alias("n"), F.count_if((F.abs(F.aggregate("x", F.lit(0.0), lambda a, x: a + x) - 1) < 1e-9) & F.forall("x", lambda x: x >= 0)).alias("sound")))
 for _name, _made in (
     ("bipartite_game_gnp", lambda s, n: random_models.bipartite_game_gnp(s, n, 30, 0.1, 5)), ("sbm_game", lambda s, n: random_models.sbm_game(s, [n, 20], [[0.1, 0.01], [0.01, 0.3]], 5)), ("hsbm_game", lambda s, n: random_models.hsbm_game(s, 3, 20, [10, 10], [[0.5, 0.1], [0.1, 0.5]], 0.02, 5)),

@@ -46,11 +46,11 @@ class Graph:
 
     @classmethod
     def from_edges(cls, edges: DataFrame, directed: bool = False, vertices: DataFrame | None = None) -> Graph:
-        """From (src, dst, ...); without ``eid`` it is the rank by (src, dst). Vertices default to those on edges."""
+        """From (src, dst, ...); edges without ``eid`` are numbered and written, so that every read has the same numbers. Vertices default to those on edges."""
         if not directed:
             edges = edges.withColumns({"src": F.least("src", "dst"), "dst": F.greatest("src", "dst")})
         if "eid" not in edges.columns:
-            edges = edges.withColumn("eid", F.monotonically_increasing_id())
+            edges = store(edges.withColumn("eid", F.monotonically_increasing_id()))
         if vertices is None:
             vertices = edges.select(F.explode(F.array("src", "dst")).alias("v")).distinct()
         return cls(vertices, edges, directed)

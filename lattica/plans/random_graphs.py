@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lattica.graph import Graph
+from lattica.graph import Graph, store
 
 
 def uniform(*what: Column | int | str) -> Column:
@@ -31,14 +31,14 @@ def erdos_renyi_gnp(spark: SparkSession, n: int, p: float, seed: int = 0, direct
 
 
 def erdos_renyi_gnm(spark: SparkSession, n: int, m: int, seed: int = 0) -> Graph:
-    """m distinct pairs: the first m distinct of twice as many draws, more if those don't do."""
-    draws = 2 * m + 20
-    while True:
-        e = spark.range(draws).select("id", F.floor(uniform(F.col("id"), 0, seed) * n).cast("long").alias("a"), F.floor(uniform(F.col("id"), 1, seed) * n).cast("long").alias("b")).where("a != b")
-        e = e.groupBy(F.least("a", "b").alias("src"), F.greatest("a", "b").alias("dst")).agg(F.min("id").alias("id")).orderBy("id").limit(m)
-        if draws > 40 * m + 1000 or e.count() == m:
-            return Graph.from_edges(e.select("src", "dst"), False, _vertices(spark, n))
-        draws *= 4
+    """m distinct pairs, every set equally likely: distinct numbers of pairs, pair number x being the x-th step round a circle of an odd number of vertices, or one to the vertex in its middle."""
+    from lattica.plans.random_models import distinct_numbers
+
+    around = n if n % 2 else n - 1
+    x = distinct_numbers(spark, n * (n - 1) // 2, m, seed, "gnm")
+    i, j = F.col("x") % max(around, 1), F.expr(f"x div {max(around, 1)}") + (1 if n % 2 else 0)
+    other = F.when(j == 0, F.lit(n - 1)).otherwise((i + j) % max(around, 1)).cast("long")
+    return Graph.from_edges(x.select(i.alias("src"), other.alias("dst")), False, _vertices(spark, n))
 
 
 def random_geometric(spark: SparkSession, n: int, radius: float, seed: int = 0, torus: bool = False) -> Graph:
@@ -69,17 +69,10 @@ def configuration_model(degrees: DataFrame, seed: int = 0) -> Graph:
 
 
 def stochastic_block_model(spark: SparkSession, sizes: list[int], p: list[list[float]], seed: int = 0) -> Graph:
-    """Blocks one after the other; pairs of blocks i and j with probability p[i][j]; by sampled pair numbers, so the work follows the edges."""
-    starts = [sum(sizes[:i]) for i in range(len(sizes))]
-    edges = None
-    for i, a in enumerate(sizes):
-        for j, b in enumerate(sizes[i:], i):
-            if p[i][j] > 0:
-                g = spark.range(a).select((F.col("id") + starts[i]).alias("src"), F.explode(F.sequence(F.lit(starts[j]).cast("long"), F.lit(starts[j] + b - 1).cast("long"))).alias("dst")).where("src < dst" if i == j else "true")
-                g = g.where(uniform(F.col("src"), F.col("dst"), seed) < p[i][j])
-                edges = g if edges is None else edges.unionByName(g)
-    edges = edges if edges is not None else spark.range(0).selectExpr("id as src", "id as dst")
-    return Graph.from_edges(edges, False, _vertices(spark, sum(sizes)))
+    """Blocks one after the other; pairs of blocks i and j with probability p[i][j]; rows skip ahead, so the work follows the edges."""
+    from lattica.plans.random_models import sbm_game
+
+    return sbm_game(spark, sizes, p, seed)
 
 
 def watts_strogatz(spark: SparkSession, n: int, nei: int, p: float, seed: int = 0) -> Graph:
@@ -101,7 +94,11 @@ def growing_graph(spark: SparkSession, n: int, m: int = 1, seed: int = 0, prefer
         return Graph.from_edges(e.select((F.col("slot") / m).cast("long").alias("src"), F.floor(target / m).cast("long").alias("dst"), F.col("slot").alias("eid")), True, _vertices(spark, n))
     # slot 2k is the source end of edge k, 2k + 1 its target end
     state = e.select("slot", target.alias("t"))
-    for _ in range(24):  # a slot is a copy with probability one half, so 24 steps leave one in 16 million
-        follow = F.when(F.col("t") % 2 == 0, F.col("t")).otherwise(F.when(F.floor(F.col("t") / 2) < m, F.lit(0).cast("long")).otherwise(F.floor(uniform(F.floor(F.col("t") / 2).cast("long"), 0, seed) * 2 * (F.floor(F.col("t") / 2) - F.floor(F.col("t") / 2) % m)).cast("long")))
-        state = state.select("slot", follow.alias("t"))
+    while True:  # a slot is a copy with probability one half
+        for _ in range(12):
+            follow = F.when(F.col("t") % 2 == 0, F.col("t")).otherwise(F.when(F.floor(F.col("t") / 2) < m, F.lit(0).cast("long")).otherwise(F.floor(uniform(F.floor(F.col("t") / 2).cast("long"), 0, seed) * 2 * (F.floor(F.col("t") / 2) - F.floor(F.col("t") / 2) % m)).cast("long")))
+            state = state.select("slot", follow.alias("t"))
+        state = store(state)
+        if state.where("t % 2 = 1").isEmpty():
+            break
     return Graph.from_edges(state.select(F.floor(F.col("slot") / m).cast("long").alias("src"), F.floor(F.col("t") / 2 / m).cast("long").alias("dst"), F.col("slot").alias("eid")), True, _vertices(spark, n))

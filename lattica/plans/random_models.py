@@ -62,6 +62,8 @@ def distinct_numbers(spark: SparkSession, total: int, m: int, *key) -> DataFrame
     if 2 * m > total:  # the complement is the smaller set
         left = distinct_numbers(spark, total, total - m, *key)
         return spark.range(total).select(F.col("id").alias("x")).join(left, "x", "left_anti")
+    if not m:
+        return spark.range(0).selectExpr("id as x")
     found, turn = None, 0
     while True:
         have = 0 if found is None else found.count()
