@@ -22,7 +22,7 @@ WORD = r"[^\x20\x09-\x0D]+"
 TERM = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 
 #: Rows of a narrow table that one task writes.
-ROWS_A_FILE = 250_000
+ROWS_A_FILE = 25_000
 #: Bytes of a batch that Python works on at once.
 BATCH_BYTES = 4_000_000
 
