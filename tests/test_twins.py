@@ -94,3 +94,14 @@ def test_distances_of_a_graph_with_twins(spark, seed):
     assert len(rows) == len(found) and {(r.s, r.t): (r.dist, r.paths) for r in rows} == found
     near = {(r.s, r.t): (r.dist, r.paths) for r in distances.distances(g, limit=1).collect()}
     assert near == {k: x for k, x in found.items() if x[0] <= 1}
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_betweenness_of_a_graph_with_twins(spark, seed):
+    pairs, g = leafy(spark, seed)
+    found, want = searched(pairs, 25), {v: 0.0 for v in range(25)}
+    for (s, t), (d, k) in found.items():
+        for v in range(25):
+            if v not in (s, t) and (s, v) in found and (v, t) in found and found[s, v][0] + found[v, t][0] == d:
+                want[v] += found[s, v][1] * found[v, t][1] / k / 2
+    assert near_enough({r.v: r.betweenness for r in distances.betweenness(g).collect()}, want)
