@@ -34,3 +34,10 @@ def test_edge_support(graph):
     rows = triangles.edge_support(g).collect()
     assert len(rows) == sum(map(len, near.values())) // 2
     assert {(r.a, r.b): r.support for r in rows} == {(a, b): len(near[a] & near[b]) for a in near for b in near[a] if a < b}
+
+
+def test_clustering(graph):
+    near, g = graph
+    rows = triangles.clustering(g).collect()
+    assert len(rows) == 42 and {r.v: (r.degree, r.triangles) for r in rows} == {v: (len(near[v]), triangles_at(near, v)) for v in near}
+    assert {r.v for r in rows if r.transitivity is None} == {v for v in near if len(near[v]) < 2}
