@@ -41,3 +41,9 @@ def test_clustering(graph):
     rows = triangles.clustering(g).collect()
     assert len(rows) == 42 and {r.v: (r.degree, r.triangles) for r in rows} == {v: (len(near[v]), triangles_at(near, v)) for v in near}
     assert {r.v for r in rows if r.transitivity is None} == {v for v in near if len(near[v]) < 2}
+
+
+def test_triangle_totals(graph):
+    near, g = graph
+    got = {r.name: r.value for r in triangles.triangle_totals(g).collect()}
+    assert got["count_triangles"] * 3 == sum(triangles_at(near, v) for v in near)
