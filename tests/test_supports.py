@@ -47,3 +47,8 @@ def test_triangle_totals(graph):
     near, g = graph
     got = {r.name: r.value for r in triangles.triangle_totals(g).collect()}
     assert got["count_triangles"] * 3 == sum(triangles_at(near, v) for v in near)
+
+
+def test_local_scan(graph):
+    near, g = graph
+    assert {r.v: r.local_scan for r in triangles.local_scan(g).collect()} == {v: len(near[v]) + triangles_at(near, v) for v in near}
