@@ -5,7 +5,7 @@ import random
 import pytest
 
 from lattica.graph import Graph
-from lattica.operators import profile, triangles
+from lattica.operators import algebra, profile, triangles
 
 
 @pytest.fixture(params=[(1, 1), (1, 40), (10_000_000_019, 40)], ids=["whole", "blocks", "wide"])
@@ -52,3 +52,10 @@ def test_triangle_totals(graph):
 def test_local_scan(graph):
     near, g = graph
     assert {r.v: r.local_scan for r in triangles.local_scan(g).collect()} == {v: len(near[v]) + triangles_at(near, v) for v in near}
+
+
+def test_clustering_profile(graph):
+    near, g = graph
+    got = {r.name: r.value for r in profile.clustering_profile(algebra.simplify(g)).collect()}
+    open_too = sum(len(x) * (len(x) - 1) // 2 for x in near.values())
+    assert abs(got["closed_triplet_ratio"] - sum(triangles_at(near, v) for v in near) / open_too) < 1e-12
