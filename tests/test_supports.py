@@ -59,3 +59,9 @@ def test_clustering_profile(graph):
     got = {r.name: r.value for r in profile.clustering_profile(algebra.simplify(g)).collect()}
     open_too = sum(len(x) * (len(x) - 1) // 2 for x in near.values())
     assert abs(got["closed_triplet_ratio"] - sum(triangles_at(near, v) for v in near) / open_too) < 1e-12
+
+
+def test_neighbor_degree_measures(graph):
+    near, g = graph
+    got = {r.name: r.value for r in profile.neighbor_degree_measures(algebra.simplify(g)).collect()}
+    assert got["first_ve_degree_zagreb_alpha"] == sum((sum(len(near[u]) for u in near[v]) - triangles_at(near, v)) ** 2 for v in near)
