@@ -149,3 +149,11 @@ def test_path_lengths_of_a_large_tree(spark):
     a = g.edges.where("least(src, dst) = 0 and greatest(src, dst) > 2").count()
     b = 24_997 - a
     assert got == {1: 24_999, 2: a * (a - 1) // 2 + b * (b - 1) // 2 + a + b + 1, 3: a + b, 4: a * b}
+
+
+def test_girth_of_large_trees_and_cycles(spark):
+    g = spider(spark)
+    assert [(r.component, r.girth) for r in kernels.girth(g).collect()] == [(0, None)]
+    ring = spark.range(9_000).selectExpr("id + 30000 as src", "(id + 1) % 9000 + 30000 as dst")
+    more = g.edges.select("src", "dst").union(ring).union(spark.createDataFrame([(40_000, 40_001), (40_001, 40_002), (40_002, 40_003), (40_003, 40_000), (40_000, 30_000)], "src long, dst long"))
+    assert {(r.component, r.girth) for r in kernels.girth(Graph.from_edges(more)).collect()} == {(0, None), (30_000, 4)}
