@@ -15,3 +15,14 @@ def test_sbm_game_of_long_rows(spark):
     got = facts(random_models.sbm_game(spark, [4000, 20], [[0.1, 0.01], [0.01, 0.3]], 5))
     mean, var = 4000 * 3999 / 2 * 0.1 + 80_000 * 0.01 + 190 * 0.3, 4000 * 3999 / 2 * 0.09 + 1000
     assert abs(got[0] - mean) < 6 * var**0.5 and got == facts(random_models.sbm_game(spark, [4000, 20], [[0.1, 0.01], [0.01, 0.3]], 5))
+
+
+def test_preference_game_of_long_rows(spark):
+    def play():
+        g, types = random_models.preference_game(spark, 3000, [0.3, 0.7], [[0.2, 0.05], [0.05, 0.1]], 5)
+        return g, {r.type: r["count"] for r in types.groupBy("type").count().collect()}
+
+    g, k = play()
+    m = facts(g)
+    mean = k[0] * (k[0] - 1) / 2 * 0.2 + k[0] * k[1] * 0.05 + k[1] * (k[1] - 1) / 2 * 0.1
+    assert k[0] + k[1] == 3000 and abs(m[0] - mean) < 6 * mean**0.5 and m == facts(play()[0])
