@@ -26,3 +26,12 @@ def test_preference_game_of_long_rows(spark):
     m = facts(g)
     mean = k[0] * (k[0] - 1) / 2 * 0.2 + k[0] * k[1] * 0.05 + k[1] * (k[1] - 1) / 2 * 0.1
     assert k[0] + k[1] == 3000 and abs(m[0] - mean) < 6 * mean**0.5 and m == facts(play()[0])
+
+
+def test_correlated_game_of_long_rows(spark):
+    first, second = random_models.correlated_pair_game(spark, 3000, 0.8, 0.1, 5)
+    pairs = 3000 * 2999 / 2
+    a, b = facts(first)[0], facts(second)
+    both = first.edges.join(second.edges, ["src", "dst"]).count()
+    assert abs(a - pairs * 0.1) < 6 * (pairs * 0.09) ** 0.5 and abs(b[0] - pairs * 0.1) < 6 * (pairs * 0.09) ** 0.5
+    assert abs(both - a * 0.82) < 6 * (a * 0.15) ** 0.5 and b == facts(random_models.correlated_pair_game(spark, 3000, 0.8, 0.1, 5)[1])
