@@ -157,3 +157,14 @@ def test_girth_of_large_trees_and_cycles(spark):
     ring = spark.range(9_000).selectExpr("id + 30000 as src", "(id + 1) % 9000 + 30000 as dst")
     more = g.edges.select("src", "dst").union(ring).union(spark.createDataFrame([(40_000, 40_001), (40_001, 40_002), (40_002, 40_003), (40_003, 40_000), (40_000, 30_000)], "src long, dst long"))
     assert {(r.component, r.girth) for r in kernels.girth(Graph.from_edges(more)).collect()} == {(0, None), (30_000, 4)}
+
+
+def test_fiedler_of_a_graph_with_twins(spark):
+    pairs, g = leafy(spark)
+    got = {r.v: (r.value, r.side) for r in kernels.fiedler(g).collect()}
+    assert got.keys() == set(range(25)) and all(side == (x < 0) for x, side in got.values())
+    for vertices in (list(range(18)), [20, 21, 22, 23]):  # the second is a star, whose vector is of its leaves
+        lap = matrices(pairs, 25, vertices)[1]
+        x = np.array([got[v][0] for v in vertices])
+        assert np.allclose(lap @ x, np.linalg.eigvalsh(lap)[1] * x) and math.isclose(x @ x, 1) and abs(x.sum()) < 1e-9
+    assert kernels.fiedler(spider(spark)).where("side = 1").count() > 8_000
