@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 
 from lattica.graph import Graph
-from lattica.operators import distances, kernels
+from lattica.operators import distances, iterate, kernels
 
 
 def leafy(spark, seed=1):
@@ -168,3 +168,18 @@ def test_fiedler_of_a_graph_with_twins(spark):
         x = np.array([got[v][0] for v in vertices])
         assert np.allclose(lap @ x, np.linalg.eigvalsh(lap)[1] * x) and math.isclose(x @ x, 1) and abs(x.sum()) < 1e-9
     assert kernels.fiedler(spider(spark)).where("side = 1").count() > 8_000
+
+
+def test_katz_of_a_graph_with_twins(spark, monkeypatch):
+    pairs, g = leafy(spark)
+    plain = [e for e in pairs if e[0] != e[1]]
+    for e, graph in ((plain, Graph.from_lists(spark, 25, plain)), (pairs, g)):
+        a = matrices(e, 25, list(range(25)))[0] + np.diag([2.0 * sum(x == y == v for x, y in e) for v in range(25)])
+        got = {r.v: r.x for r in iterate.katz_centrality(graph, 0.05, tolerance=1e-10).collect()}
+        assert np.allclose([got[v] for v in range(25)], np.linalg.solve(np.eye(25) - 0.05 * a, np.ones(25)))
+    monkeypatch.setattr(iterate, "STEPS", 0)
+    got = {r.v: r.x for r in iterate.katz_centrality(Graph.from_lists(spark, 3, [(0, 1), (0, 2)]), 0.05).collect()}
+    assert math.isclose(got[0], 1.1 / 0.995, rel_tol=1e-6)
+    monkeypatch.undo()
+    with pytest.raises(ArithmeticError):
+        iterate.katz_centrality(spider(spark), 0.02)
